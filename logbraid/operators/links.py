@@ -38,7 +38,7 @@ def score_chunks(chunked: DataFrame, scorer: ChunkScorer, by: tuple[str, ...] =
     fields += [f"`{f.name}` {f.dataType.simpleString()}" for f in PROPOSED_LINK if f.name not in CHUNK]
     schema = ", ".join([*fields, "error string"])
 
-    def run(names, events: pd.DataFrame) -> pd.DataFrame:
+    def run(names: tuple, events: pd.DataFrame) -> pd.DataFrame:
         events = events.sort_values(["ts", "event_id"], ignore_index=True)
         try:
             links = scorer(events).reindex(columns=columns).assign(error=None)

@@ -88,12 +88,11 @@ def shape(raw: DataFrame, source: str, now: Column | datetime | None = None) ->
     return SHAPES[source](raw, _now(now))
 
 
-def finish(shaped: DataFrame, cfg: CorrelationConfig = CorrelationConfig(), now: Column | datetime | None = None) -> DataFrame:
-    """The part that is the same for every source, done once on their union: levels from the text where
-    the source gave none, identifiers and event ids."""
+def keyed_events(shaped: DataFrame, cfg: CorrelationConfig = CorrelationConfig(), now: Column | datetime | None = None) -> DataFrame:
+    """Events of records that all have a key: one projection, for batches and streams."""
     message = F.col("message")
     key = event_id(F.col("source_system"), F.col("origin"), F.col("ts"), message, F.col("record_key"))
-    return fill_record_key(shaped).select(
+    return shaped.select(
         key.alias("event_id"),
         "source_system",
         "origin",
@@ -106,6 +105,12 @@ def finish(shaped: DataFrame, cfg: CorrelationConfig = CorrelationConfig(), now:
     )
 
 
+def finish(shaped: DataFrame, cfg: CorrelationConfig = CorrelationConfig(), now: Column | datetime | None = None) -> DataFrame:
+    """The part that is the same for every source, done once on their union: record keys where there are none,
+    levels from the text where the source gave none, identifiers and event ids."""
+    return keyed_events(fill_record_key(shaped), cfg, now)
+
+
 def normalize(raw: DataFrame, source: str, cfg: CorrelationConfig = CorrelationConfig(), now=None) -> DataFrame:
     return finish(shape(raw, source, now), cfg, now)
 
