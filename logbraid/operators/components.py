@@ -41,35 +41,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return seen.select(F.col("m").alias("a"), F.explode(F.array_compact(ends)).alias("b"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """True if every edge leads from a root to a node with no other parent and no children."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("parent"), F.lit(0).alias("child")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("parent"), F.lit(1).alias("child"))
+    )
+    counted = roles.groupBy("node").agg(F.max("parent").alias("parent"), F.sum("child").alias("children"))
+    return counted.where("children > 1 or (children > 0 and parent > 0)").isEmpty()
+
+
 def star_roots(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node that is not the smallest of its component; `a` and `b` name
     the ends of the undirected edges."""
-    current = (
-        edges.where(F.col(a) != F.col(b))
-        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        .distinct()
+    current = cut(
+        edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     )
-    current = cut(current)
-    before = _digest(current)
     for _ in range(MAX_ROUNDS):
-        if before[0] == 0:
-            break
-        current = cut(_small_star(_large_star(current).distinct()).distinct())
-        after = _digest(current)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return current.select(F.col("b").alias("node"), F.col("a").alias("root"))
-
-
-def _digest(edges: DataFrame) -> tuple:
-    """Row count and an order-free sum over the rows; equal when a round changed nothing."""
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-    ).first()
-    return row["n"], row["h"]
+        if _settled(current):
+            return current.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        current = cut(_small_star(_large_star(current)).distinct())
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "event_id") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logbraid.config import ID_MATCH, CorrelationConfig
+from logbraid.functions.levels import lookup
 from logbraid.functions.times import floor_tile
 from logbraid.operators.event_ids import edge_id
 
@@ -24,15 +25,12 @@ _TILE = ["id_key", "id_value", "tile"]
 
 def identifier_index(events: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     """One row per event and identifier."""
-    ordinals = F.create_map(*[F.lit(x) for i, key in enumerate(cfg.identifier_patterns) for x in (key, i)])
     us = F.unix_micros("ts")
     return events.select("event_id", us.alias("us"), F.explode("identifiers").alias("id_key", "id_value")).select(
         "event_id",
         "us",
         "id_key",
         "id_value",
-        # Identifiers of other origin than the patterns come after them.
-        F.coalesce(F.try_element_at(ordinals, "id_key"), F.lit(len(cfg.identifier_patterns))).alias("key_order"),
         floor_tile(F.col("us"), cfg.id_window_us).alias("tile"),
     )
 
@@ -89,7 +87,8 @@ def id_match_pairs(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig =
     An equi-join on (key, value, tile of the later event, distance of the earlier tile). A tile
     of n events is split by hash into ceil(n / rows_per_cell) parts and each part of the
     one side meets each part of the other in a cell of its own, so the work of one join
-    key is bounded however hot an identifier is. Events without a partner never reach the join."""
+    key is bounded however hot an identifier is. Events without a partner never reach the join.
+    Both sides read the index with the same columns, so that it is shuffled once."""
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / cfg.rows_per_cell)).cast("int")
     active = tiles.where("n > 1 or n_before > 0 or n_after > 0").select(
         *_TILE,
@@ -138,7 +137,6 @@ def id_match_pairs(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig =
         F.col("part").alias("target_part"),
         F.col("event_id").alias("target_event_id"),
         F.col("us").alias("target_us"),
-        "key_order",
         "group_first",
     )
     cell = ["id_key", "id_value", "tile", "apart", "source_part", "target_part"]
@@ -149,16 +147,19 @@ def id_match_pairs(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig =
     return (
         source.join(target, cell)
         .where(in_order & near)
-        .select("source_event_id", "target_event_id", "id_key", "id_value", "key_order", "group_first")
+        .select("source_event_id", "target_event_id", "id_key", "id_value", "group_first")
     )
 
 
-def id_match_edges(pairs: DataFrame) -> DataFrame:
+def id_match_edges(pairs: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     """One edge per pair. If a pair shares several identifiers, the key of the group that
     began first in the whole input wins; groups that begin at the same event go by key order."""
+    positions = {key: i for i, key in enumerate(cfg.identifier_patterns)}
+    # Identifiers of other origin than the patterns come after them.
+    key_order = F.coalesce(lookup(positions, F.col("id_key")), F.lit(len(positions))).alias("key_order")
     return (
         pairs.groupBy("source_event_id", "target_event_id")
-        .agg(F.min_by("id_key", F.struct("group_first", "key_order")).alias("matched_on"))
+        .agg(F.min_by("id_key", F.struct(F.col("group_first"), key_order)).alias("matched_on"))
         .select(
             edge_id(F.col("source_event_id"), F.col("target_event_id"), F.lit(ID_MATCH)).alias("edge_id"),
             "source_event_id",

@@ -54,7 +54,7 @@ def run_correlation(
     index = identifier_links.identifier_index(events, cfg)
     tiles = cut(identifier_links.identifier_tiles(index, cfg))
     members = identifier_links.session_members(index, tiles)
-    deterministic = identifier_links.id_match_edges(identifier_links.id_match_pairs(index, tiles, cfg))
+    deterministic = identifier_links.id_match_edges(identifier_links.id_match_pairs(index, tiles, cfg), cfg)
     unlinked = identifier_links.unlinked_events(events, members)
 
     if use_scorer:

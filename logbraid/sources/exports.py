@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from logbraid import schemas
 from logbraid.config import CorrelationConfig
 from logbraid.functions.text import flatten_payload
+from logbraid.functions.times import floor_tile
 from logbraid.operators.ranking import top_per_group
 
 
+_MINUTE_MS = 60_000
+
+
 def _utc(moment: datetime) -> datetime:
     return moment.replace(tzinfo=timezone.utc) if moment.tzinfo is None else moment
 
@@ -49,7 +53,11 @@ def cloudwatch_records(
     if contains:
         export = export.where(message_contains(F.col("message"), contains))
     kept = top_per_group(
-        export, ["logGroupName"], ["timestamp", "eventId", "logStreamName", "message"], cfg.max_events_per_group
+        export,
+        ["logGroupName"],
+        ["timestamp", "eventId", "logStreamName", "message"],
+        cfg.max_events_per_group,
+        tile=floor_tile(F.col("timestamp"), _MINUTE_MS),
     )
     return kept.select(
         F.concat_ws(":", F.coalesce("logGroupName", F.lit("")), F.coalesce("logStreamName", F.lit(""))).alias("origin"),
@@ -80,7 +88,9 @@ def gcp_records(
         export = export.where(ts < F.lit(_utc(end)))
     if where is not None:
         export = export.where(where)
-    export = export.orderBy(ts, "insertId").limit(cfg.max_entries)
+    placed = export.withColumn("_ts", ts)
+    minute = floor_tile(F.unix_millis("_ts"), _MINUTE_MS)
+    export = top_per_group(placed, [], ["_ts", "insertId"], cfg.max_entries, tile=minute)
     flat = flatten_payload(F.col("textPayload"), F.col("jsonPayload"), F.col("protoPayload"))
     return export.withColumn("flat", flat).select(
         F.coalesce(F.nullif("logName", F.lit("")), F.lit("gcp_logging")).alias("origin"),

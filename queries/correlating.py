@@ -13,7 +13,7 @@ from queries.registry import query
 
 def index_and_tiles(events):
     index = identifier_links.identifier_index(events)
-    return index, identifier_links.identifier_tiles(index)
+    return index, cut(identifier_links.identifier_tiles(index))
 
 
 def members_of(events):
