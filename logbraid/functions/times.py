@@ -1,6 +1,8 @@
 """Timestamps: parsing, text form, tiles."""
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ TOMCAT_TS = r"\d{2}-[A-Za-z]{3}-\d{4} \d{2}:\d{2}:\d{2}\.\d{3}|\d{4}-\d{2}-\d{2}
 _NAMED_ZONE = r"\s*(?!(?:UTC|GMT)$)[A-Z]{3,5}$"
 
 
+def utc(moment: datetime) -> datetime:
+    """A moment without a zone is UTC."""
+    return moment.replace(tzinfo=timezone.utc) if moment.tzinfo is None else moment
+
+
 def epoch_ms_or_now(ms: Column, now: Column) -> Column:
     return F.coalesce(F.timestamp_millis(ms), now)
 

@@ -379,6 +379,33 @@ def case_status(
     return joined.select("case_id", "tier", "outcome_class", status.alias("status"))
 
 
+def case_report(statuses: DataFrame, ratios: DataFrame, anchors: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One row per case for the JSON output. Ratios show only where a case was judged and they are defined; step lists only
+    for the status they explain."""
+    steps = anchors.groupBy("case_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("n_matches") == 0, F.col("step_id")))).alias("missing"),
+        F.array_sort(F.collect_set(F.when(F.col("n_matches") != 1, F.col("step_id")))).alias("unresolved"),
+    )
+    empty = diagnostics.where("outcome = 'empty_result'").groupBy("case_id").agg(F.count(F.lit(1)).alias("empty"))
+    judged = F.col("status").isin("PASS", "FAIL", "REPRODUCED", "NOT_REPRODUCED")
+    matched = ~F.col("status").isin("TIMEOUT", "UNRESOLVED")
+    none = F.array().cast("array<string>")
+    only = lambda cond, name: F.coalesce(F.when(cond, F.col(name)), none)
+    return (
+        statuses.join(ratios, "case_id", "left")
+        .join(steps, "case_id", "left")
+        .join(empty, "case_id", "left")
+        .select(
+            *statuses.columns,
+            F.when(judged & ~F.col("precision_undefined"), F.col("precision")).alias("precision"),
+            F.when(judged & ~F.col("recall_undefined"), F.col("recall")).alias("recall"),
+            only(F.col("status") == "UNRESOLVED", "unresolved").alias("unresolved_steps"),
+            only(F.col("status") == "TIMEOUT", "missing").alias("timeout_missing"),
+            F.when(matched, F.coalesce("empty", F.lit(0))).otherwise(0).alias("empty_semantic_results"),
+        )
+    )
+
+
 def suite_summary(statuses: DataFrame) -> DataFrame:
     """Cases per tier and status; numbered tiers first. `tier_rank` gives the order of tiers."""
     ranks = Window.orderBy(F.col("tier") == "doc", "tier")

@@ -6,7 +6,7 @@ split on that.
 """
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +22,16 @@ from logbraid.functions import (
     parse_tomcat_ts,
     parse_ts_or_now,
 )
+from logbraid.functions.times import utc
 from logbraid.operators.event_ids import event_id, fill_record_key
 
 
+def _moment(value: Column | datetime) -> Column:
+    return F.lit(utc(value)) if isinstance(value, datetime) else value
+
+
 def _now(now: Column | datetime | None) -> Column:
-    if now is None:
-        return F.current_timestamp()
-    return now if isinstance(now, Column) else F.lit(now)
+    return F.current_timestamp() if now is None else _moment(now)
 
 
 def _shape(raw: DataFrame, source: str, ts: Column, level: Column, message: str, host: Column) -> DataFrame:
@@ -126,12 +129,10 @@ def rejected(events: DataFrame) -> DataFrame:
 
 def in_window(events: DataFrame, start: datetime | Column | None = None, end: datetime | Column | None = None) -> DataFrame:
     """Half-open window `start <= ts < end`; either bound may be missing."""
-    bound = lambda x: x.replace(tzinfo=timezone.utc) if isinstance(x, datetime) and x.tzinfo is None else x
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(bound(x))
     if start is not None:
-        events = events.where(F.col("ts") >= as_col(start))
+        events = events.where(F.col("ts") >= _moment(start))
     if end is not None:
-        events = events.where(F.col("ts") < as_col(end))
+        events = events.where(F.col("ts") < _moment(end))
     return events
 
 
@@ -144,9 +145,9 @@ def normalize_stats(events: DataFrame, start=None, end=None) -> DataFrame:
     """Per source: raw records, and those that became events of the window."""
     kept = F.col("ts").isNotNull()
     if start is not None:
-        kept &= F.col("ts") >= F.lit(start)
+        kept &= F.col("ts") >= _moment(start)
     if end is not None:
-        kept &= F.col("ts") < F.lit(end)
+        kept &= F.col("ts") < _moment(end)
     return events.groupBy("source_system").agg(
         F.count(F.lit(1)).alias("raw_records"), F.count_if(kept).alias("normalized")
     )

@@ -1,6 +1,6 @@
 """Readers of exported logs, log files and database log tables."""
 from logbraid.sources.databases import mysql_records, oracle_records, read_mysql, read_oracle
-from logbraid.sources.exports import cloudwatch_records, gcp_records, read_cloudwatch, read_gcp
+from logbraid.sources.exports import cloudwatch_records, gcp_records, read_cloudwatch, read_gcp, unreadable_lines
 from logbraid.sources.logfiles import read_log_lines, read_postgres_log, read_tomcat
 from logbraid.sources.scenarios import read_scenarios
 from logbraid.sources.stitch import stitch_postgres, stitch_tomcat
@@ -23,4 +23,5 @@ __all__ = [
     "stitch_postgres",
     "stitch_tomcat",
     "union_sources",
+    "unreadable_lines",
 ]

@@ -5,12 +5,12 @@ to raw records is a separate function of a frame.
 """
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logbraid.functions.times import iso_text
+from logbraid.functions.times import iso_text, utc
 
 
 def _iso(name: str, frame: DataFrame):
@@ -43,9 +43,9 @@ def mysql_records(rows: DataFrame, name: str) -> DataFrame:
 
 def _window(table: DataFrame, column: str, start: datetime | None, end: datetime | None) -> DataFrame:
     if start is not None:
-        table = table.where(F.col(column) >= F.lit(start))
+        table = table.where(F.col(column) >= F.lit(utc(start)))
     if end is not None:
-        table = table.where(F.col(column) < F.lit(end))
+        table = table.where(F.col(column) < F.lit(utc(end)))
     return table
 
 
@@ -55,8 +55,8 @@ def _jdbc(spark: SparkSession, options: dict, table: str, column: str, start, en
         # Parallel range reads on the time column.
         reader = (
             reader.option("partitionColumn", column)
-            .option("lowerBound", start.strftime("%Y-%m-%d %H:%M:%S"))
-            .option("upperBound", end.strftime("%Y-%m-%d %H:%M:%S"))
+            .option("lowerBound", utc(start).astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
+            .option("upperBound", utc(end).astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))
             .option("numPartitions", splits)
         )
     return _window(reader.load(), column, start, end)

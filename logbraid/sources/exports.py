@@ -1,38 +1,47 @@
 """JSON-lines exports of hosted log services."""
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logbraid import schemas
 from logbraid.config import CorrelationConfig
 from logbraid.functions.text import flatten_payload
-from logbraid.functions.times import floor_tile
+from logbraid.functions.times import floor_tile, utc
 from logbraid.operators.ranking import top_per_group
 
 
 _MINUTE_MS = 60_000
 
 
-def _utc(moment: datetime) -> datetime:
-    return moment.replace(tzinfo=timezone.utc) if moment.tzinfo is None else moment
-
-
 def _to_ms(moment: datetime) -> int:
-    return int(_utc(moment).timestamp() * 1000)
+    return int(utc(moment).timestamp() * 1000)
 
 
 def message_contains(text: Column, term: str | None) -> Column:
     return text.contains(term) if term else F.lit(True)
 
 
-def _read_json(spark: SparkSession, path, schema) -> DataFrame:
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
+def _read_json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    """Records of JSON-lines files, with the text of a broken line in `malformed`."""
+    with_text = T.StructType([*schema.fields, T.StructField("malformed", T.StringType(), True)])
+    reader = spark.read.schema(with_text).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed")
     return reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).json(path)
 
 
+def unreadable_lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    """(origin, message, reason) of lines that are no record of this schema."""
+    lines = _read_json(spark, path, schema).where("malformed is not null")
+    # Naming every field makes the reader parse them all, or a wrong type in one would pass.
+    message = F.coalesce("malformed", F.to_json(F.struct(*schema.names)))
+    return lines.select(
+        F.col("_metadata.file_path").alias("origin"), message.alias("message"), F.lit("unreadable_line").alias("reason")
+    )
+
+
 def cloudwatch_records(
     export: DataFrame,
     start: datetime | None = None,
@@ -69,7 +78,7 @@ def cloudwatch_records(
 
 
 def read_cloudwatch(spark: SparkSession, path, start=None, end=None, groups=None, contains=None, cfg=CorrelationConfig()):
-    export = _read_json(spark, path, schemas.CLOUDWATCH_EXPORT).where("timestamp is not null or message is not null")
+    export = _read_json(spark, path, schemas.CLOUDWATCH_EXPORT).where("malformed is null").drop("malformed")
     return cloudwatch_records(export, start, end, groups, contains, cfg)
 
 
@@ -83,9 +92,9 @@ def gcp_records(
     """Raw records from exported entries: the earliest `max_entries` inside the window."""
     ts = F.col("timestamp").try_cast("timestamp")
     if start is not None:
-        export = export.where(ts >= F.lit(_utc(start)))
+        export = export.where(ts >= F.lit(utc(start)))
     if end is not None:
-        export = export.where(ts < F.lit(_utc(end)))
+        export = export.where(ts < F.lit(utc(end)))
     if where is not None:
         export = export.where(where)
     placed = export.withColumn("_ts", ts)
@@ -107,7 +116,5 @@ def gcp_records(
 
 
 def read_gcp(spark: SparkSession, path, start=None, end=None, where=None, cfg=CorrelationConfig()):
-    export = _read_json(spark, path, schemas.GCP_EXPORT).where(
-        "coalesce(timestamp, textPayload, jsonPayload, protoPayload, logName, insertId) is not null"
-    )
+    export = _read_json(spark, path, schemas.GCP_EXPORT).where("malformed is null").drop("malformed")
     return gcp_records(export, start, end, where, cfg)

@@ -23,7 +23,7 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     and `pos` grows with the line inside it. A path without a match is reported
     and skipped, and bytes that are not UTF-8 are replaced."""
     frames = []
-    for path in [paths] if isinstance(paths, str) else paths:
+    for path in dict.fromkeys([paths] if isinstance(paths, str) else paths):
         try:
             raw = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(path)
         except AnalysisException as error:

@@ -81,3 +81,32 @@ def test_idempotent_tables(spark, events, tmp_path):
     store.save_edges(edges.unionByName(edge_frame(spark, [("3", "e3", "next", "id_match", 1.0)])), ev, ed)
     assert rows(store.load_edges(spark, ed), "edge_id") == [("1",), ("3",)]
     assert sorted(p.name for p in (tmp_path / "events").glob("event_date=*")) == ["event_date=2026-08-03", "event_date=2026-08-04"]
+
+
+def test_batch_run(spark, tmp_path):
+    """Two sources, a window, and the same run again."""
+    from datetime import datetime
+
+    from logbraid.plans import run_batch
+    from logbraid.sources import read_postgres_log, read_tomcat
+
+    (tmp_path / "catalina.out").write_text(
+        "2026-08-04 11:59:59 INFO request_id=abcdefgh too early\n"
+        "2026-08-04 12:00:00 ERROR request_id=abcdefgh failed\n\tat x.Y\n"
+        "2026-08-04 12:00:30 WARN disk almost full here\n"
+    )
+    (tmp_path / "pg.log").write_text(
+        "2026-08-04 12:00:03.000 UTC [7] ERROR:  statement failed request_id=abcdefgh\n"
+        "2026-08-04 12:00:31.000 UTC [8] LOG:  disk almost full here\n"
+    )
+    readers = {
+        "tomcat": lambda: read_tomcat(spark, [str(tmp_path / "catalina.out")]),
+        "postgres": lambda: read_postgres_log(spark, str(tmp_path / "pg.log"), "app"),
+    }
+    where = str(tmp_path / "events"), str(tmp_path / "edges")
+    for _ in range(2):
+        run = run_batch(spark, readers, *where, datetime(2026, 8, 4, 12), datetime(2026, 8, 4, 13))
+        assert rows(run.stats) == [(4, 1, 2, 1, 2)]
+        assert rows(run.incidents, "event_count") == [(2,), (2,)]
+        assert store.load_events(spark, where[0]).count() == 4
+        assert rows(store.load_edges(spark, where[1]), "relation_type") == [("id_match",), ("semantic_similarity",)]

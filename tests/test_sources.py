@@ -10,7 +10,7 @@ from logbraid.config import CorrelationConfig
 from logbraid.operators import normalize as norm
 from logbraid.operators.event_ids import number_copies
 from logbraid.operators.ranking import position_in_group, top_per_group
-from logbraid import sources
+from logbraid import schemas, sources
 
 TRACE = (
     "04-Aug-2026 12:00:00.123 SEVERE [exec-3] com.example.Orders request_id=req-abc123 failed\n"
@@ -122,6 +122,8 @@ def test_cloudwatch_export(spark, tmp_path):
     assert read(cfg=CorrelationConfig(max_events_per_group=2)) == [("/a:st", "1"), ("/a:st", "2"), ("/b:st", "4")]
     assert read(groups=["/b"]) == [("/b:st", "4")]
     assert read(contains="boom") == [("/a:st", "2")]
+    bad = sources.unreadable_lines(spark, path, schemas.CLOUDWATCH_EXPORT)
+    assert rows(bad, "message", "reason") == [("{broken", "unreadable_line")]
     events = norm.normalize(sources.read_cloudwatch(spark, path), "cloudwatch")
     assert events.where("host = 'st' and ts is not null").count() == 5
 
