@@ -37,7 +37,7 @@ class CorrelationConfig:
     # Sizing of the Spark jobs; none of these changes a result.
     rows_per_cell: int = 20_000
     fold_limit: int = 4_096
-    broadcast_rows: int = 500_000
+    broadcast_rows: int = 200_000
 
     def __post_init__(self):
         for name in ("id_window_seconds", "bucket_seconds", "chunk_size", "rows_per_cell"):

@@ -17,7 +17,7 @@ def top_per_group(
     order: list[str],
     n: int,
     tile: Column | None = None,
-    broadcast_rows: int = 500_000,
+    broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """First `n` rows of each group. Salted groups are cut to `n` rows first, so that the last
     step sees at most `n` rows per salt, however large a group is.

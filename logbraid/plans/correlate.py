@@ -58,7 +58,7 @@ def run_correlation(
     unlinked = identifier_links.unlinked_events(events, members)
 
     if use_scorer:
-        unlinked = cut(unlinked)
+        unlinked = cut(unlinked.select(*by, "event_id", "source_system", "ts", "level", "message"))
         bucketed = buckets.time_buckets(unlinked, cfg, by)
         summary = buckets.bucket_summary(bucketed, by)
         chunked = buckets.chunks(bucketed, summary, cfg, by)

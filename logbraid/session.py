@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Path of a new folder next to the checkpoints, for tables that must outlive an executor."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint if the frame is known to hold at most `max_rows` rows; otherwise
     the frame as it is, and the join shuffles. Counts at most `max_rows + 1` rows."""

@@ -23,7 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(n, ts, user_id, event_type, props, body)"""
-    return table(spark, sf_dir, "events").selectExpr(
+    return with_body(table(spark, sf_dir, "events"))
+
+
+def with_body(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id AS n",
         "CAST(ts AS timestamp) AS ts",
         "user_id",
@@ -143,6 +147,15 @@ def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(log_events(spark, sf_dir))
 
 
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a stream over the file of `events`. The two database sources have no record keys; a
+    stream cannot number copies, so each record counts as the first."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = with_body(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))
+    shaped = union_sources({source: lambda s=source: normalize.shape(RAW[s](rows), s) for source in RAW})
+    return normalize.accepted(normalize.keyed_events(shaped.fillna("copy-1", ["record_key"])))
+
+
 # Hash suffixes stand for label choices that both engines can make.
 def last_hex(name: str, digits: str) -> Column:
     return F.substring(F.col(name), -1, 1).isin(*digits)
