@@ -52,7 +52,7 @@ def raw_cloudwatch(rows: DataFrame) -> DataFrame:
         "body AS message",
         "unix_millis(ts) AS timestamp_ms",
         "concat('stream-', n % 7) AS log_stream_name",
-        "CAST(n AS string) AS record_key",
+        "coalesce(CAST(n AS string), '') AS record_key",
     )
 
 
@@ -77,7 +77,7 @@ def raw_gcp(rows: DataFrame) -> DataFrame:
         "concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), '+00:00') AS timestamp",
         "CASE n div 6 % 3 WHEN 1 THEN '' WHEN 2 THEN 'NOTICE' END AS severity",
         "concat('res-', n % 5) AS resource_type",
-        "CAST(n AS string) AS record_key",
+        "coalesce(CAST(n AS string), '') AS record_key",
     )
 
 
@@ -113,7 +113,7 @@ def raw_postgres(rows: DataFrame) -> DataFrame:
              WHEN 'click' THEN 'DEBUG2' ELSE 'CONTEXT' END AS level""",
         "CAST(1000 + n % 50 AS string) AS pid",
         "body AS message",
-        "CAST(n AS string) AS record_key",
+        "coalesce(CAST(n AS string), '') AS record_key",
     )
 
 
