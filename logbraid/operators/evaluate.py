@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from logbraid.config import ID_MATCH, SEMANTIC_SIMILARITY, SOURCE_SYSTEMS, CorrelationConfig
 from logbraid.functions.identifiers import extract_identifiers
 from logbraid.functions.times import floor_tile
+from logbraid.operators.counts import row_counts
 from logbraid.session import broadcast_within
 
 # Words allowed in labelled cases.
@@ -416,9 +417,8 @@ def suite_summary(statuses: DataFrame) -> DataFrame:
 
 def zero_edge_gate(events: DataFrame, deterministic: DataFrame, expected_min: int) -> DataFrame:
     """One row: background noise without identifiers must have arrived, and must link nothing."""
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     enough = F.col("event_count") >= expected_min
-    counted = count(events, "event_count").join(count(deterministic, "n_edges"))
+    counted = row_counts({"event_count": events, "n_edges": deterministic})
     reason = F.when(~enough, "too_few_events").when(F.col("n_edges") > 0, "deterministic_edges_on_noise")
     return counted.select(
         (enough & (F.col("n_edges") == 0)).alias("passed"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_COPIES_PER_ROW = 100_000
+_RUN = 100_000
 
 
 def hashed(*parts: Column) -> Column:
@@ -14,17 +14,17 @@ def hashed(*parts: Column) -> Column:
 
 def number_copies(df: DataFrame, name: str) -> DataFrame:
     """Numbers byte-identical rows 1..n. Copies collapse to one counted row before the shuffle
-    and are expanded after it, so a row with very many copies costs no large group."""
+    and are expanded after it. A row with very many copies is first cut into runs, which are spread over the
+    tasks, so that no task expands more than a run of it."""
     names = df.columns
     counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    runs = F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / _COPIES_PER_ROW))
-    first = F.col("_run") * _COPIES_PER_ROW + 1
-    last = F.least(F.col("_n"), (F.col("_run") + 1) * _COPIES_PER_ROW)
-    return (
-        counted.withColumn("_run", F.explode(runs))
-        .withColumn(name, F.explode(F.sequence(first, last)))
-        .select(*names, F.col(name))
+    few = counted.where(F.col("_n") <= _RUN).withColumn(name, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    runs = counted.where(F.col("_n") > _RUN).withColumn(
+        "_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / _RUN)))
     )
+    first, last = F.col("_run") * _RUN + 1, F.least(F.col("_n"), (F.col("_run") + 1) * _RUN)
+    many = runs.repartition(*names, "_run").withColumn(name, F.explode(F.sequence(first, last)))
+    return few.select(*names, name).unionByName(many.select(*names, name))
 
 
 def fill_record_key(shaped: DataFrame) -> DataFrame:

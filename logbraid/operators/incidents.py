@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logbraid.operators.counts import row_counts
+
 
 def graph_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Undirected simple graph: edges whose two ends exist, one per pair; of parallel edges the
@@ -60,5 +62,4 @@ def incident_subgraph(
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return count(nodes, "n_events").join(count(edges, "n_correlations"))
+    return row_counts({"n_events": nodes, "n_correlations": edges})

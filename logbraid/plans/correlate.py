@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logbraid.config import CorrelationConfig
 from logbraid.operators import buckets, components, identifier_links, incidents, links
+from logbraid.operators.counts import row_counts
 from logbraid.session import cut, ensure_utc
 
 
@@ -27,14 +28,15 @@ def all_edges(deterministic: DataFrame, semantic: DataFrame) -> DataFrame:
 
 
 def correlation_stats(events: DataFrame, deterministic: DataFrame, unlinked: DataFrame, semantic: DataFrame) -> DataFrame:
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return (
-        count(events, "total_events")
-        .join(count(deterministic, "deterministic_edges"))
-        .join(count(unlinked, "unlinked_after_deterministic"))
-        .join(count(semantic, "semantic_edges"))
-        .withColumn("total_edges", F.col("deterministic_edges") + F.col("semantic_edges"))
+    counts = row_counts(
+        {
+            "total_events": events,
+            "deterministic_edges": deterministic,
+            "unlinked_after_deterministic": unlinked,
+            "semantic_edges": semantic,
+        }
     )
+    return counts.withColumn("total_edges", F.col("deterministic_edges") + F.col("semantic_edges"))
 
 
 def run_correlation(
@@ -63,7 +65,7 @@ def run_correlation(
         summary = buckets.bucket_summary(bucketed, by)
         chunked = buckets.chunks(bucketed, summary, cfg, by)
         if scorer is None:
-            raw = links.lexical_links(chunked, by)
+            raw = cut(links.lexical_links(chunked, by))
             errors = chunked.select(*by, *links.CHUNK).limit(0)
         else:
             raw, errors = links.split_scored(cut(links.score_chunks(chunked, scorer, by)))
