@@ -16,13 +16,13 @@ def one(spark, value, make, kind="string"):
     "text, ids, level",
     [
         (
-            "ERROR request_id=abc12345 trace_id=xyz98765 failed to process order",
-            {"request_id": "abc12345", "trace_id": "xyz98765"},
+            "ERROR request_id=11112222 trace_id=aaaabbbb cart not saved",
+            {"request_id": "11112222", "trace_id": "aaaabbbb"},
             "ERROR",
         ),
-        ("just a plain message", {}, None),
-        ("deadlock detected status: 500 while updating orders", {"error_code": "500"}, None),
-        ("slow UPDATE orders SET status = 'processing' exceeded 30000ms", {}, None),
+        ("nothing to find in here", {}, None),
+        ("lock wait ended with status: 500 on carts", {"error_code": "500"}, None),
+        ("UPDATE carts SET status = 'open' was slow", {}, None),
         ("uuid: a-1", {"user_id": "a-1"}, None),
         ("status unknown", {"error_code": "unknown"}, None),
         ("errorCode=x_1", {"error_code": "x_1"}, None),
@@ -83,9 +83,9 @@ def test_payloads(spark):
         .select("f.*")
         .first()
     )
-    assert flat("plain text log line", None) == ("plain text log line", "text")
-    body = '{"message": "request_id=req-1 timeout", "severity": "ERROR"}'
-    assert flat(None, body) == ("request_id=req-1 timeout | " + body, "json")
+    assert flat("some text", None) == ("some text", "text")
+    body = '{"message": "cart ck-1 is late", "severity": "ERROR"}'
+    assert flat(None, body) == ("cart ck-1 is late | " + body, "json")
     assert flat(None, '{"foo": "bar"}') == ('{"foo": "bar"}', "json")
     assert flat(None, None) == ("", "empty")
     assert flat(None, '{"message": 5, "msg": "x"}') == ('x | {"message": 5, "msg": "x"}', "json")

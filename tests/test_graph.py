@@ -12,7 +12,7 @@ def edge_frame(spark, data):
     return spark.createDataFrame([(i, a, b, kind, conf, "request_id", BASE) for i, a, b, kind, conf in data], EDGE)
 
 
-NODES = [("e1", 0, {"request_id": "r"}, "cloudwatch", "NullPointerException", "ERROR"), ("e2", 5, None, "tomcat", "handled", "INFO"), ("e3", 9)]
+NODES = [("e1", 0, {"request_id": "r"}, "cloudwatch", "cart is locked", "ERROR"), ("e2", 5, None, "tomcat", "handled", "INFO"), ("e3", 9)]
 
 
 def test_graph_loading(spark, events):
@@ -38,10 +38,10 @@ def test_node_records(events):
     nodes = {r.id: r for r in shape.shape_nodes(events(NODES + [("e4", 0, {}, "oracle", "m" * 200, "SEVERE")])).collect()}
     e1 = nodes["e1"]
     assert (e1.group, e1.borderWidth, e1.size, e1.color.background, e1.color.border) == ("cloudwatch", 3, 28, "#FF9900", "#D32F2F")
-    assert e1.label == "cloudwatch\nNullPointerException"
+    assert e1.label == "cloudwatch\ncart is locked"
     assert e1.title == (
         "<b>cloudwatch</b> (o)<br>2026-08-03T12:00:00+00:00<br><b>level:</b> ERROR<br>"
-        "<b>identifiers:</b> request_id=r<br><b>message:</b> NullPointerException"
+        "<b>identifiers:</b> request_id=r<br><b>message:</b> cart is locked"
     )
     assert "<b>identifiers:</b> none<br>" in nodes["e3"].title and nodes["e3"].raw.level == "INFO"
     e4 = nodes["e4"]

@@ -13,10 +13,10 @@ from logbraid.operators.ranking import position_in_group, top_per_group
 from logbraid import schemas, sources
 
 TRACE = (
-    "04-Aug-2026 12:00:00.123 SEVERE [exec-3] com.example.Orders request_id=req-abc123 failed\n"
-    "\tat com.example.Orders.a(Orders.java:42)\n"
-    "\tat com.example.Orders.b(Orders.java:17)\n"
-    "04-Aug-2026 12:00:05.456 INFO [exec-4] com.example.Orders request_id=req-def456 handled\n"
+    "17-Feb-2026 08:30:00.250 SEVERE [worker-1] shop.cart.Checkout request_id=ck-00000001 aborted\n"
+    "\tat shop.cart.Checkout.pay(Checkout.java:7)\n"
+    "\tat shop.cart.Main.run(Main.java:3)\n"
+    "17-Feb-2026 08:30:09.900 INFO [worker-2] shop.cart.Checkout request_id=ck-00000002 paid\n"
 )
 
 
@@ -34,7 +34,7 @@ def test_stack_trace_is_one_record(spark, tmp_path):
 
 def test_gzip_glob_and_missing_path(spark, tmp_path):
     with gzip.open(tmp_path / "catalina.2026-08-03.log.gz", "wt") as out:
-        out.write("03-Aug-2026 23:59:00.000 INFO [main] startup complete\n")
+        out.write("01-Jan-2026 00:00:00.001 INFO [boot] ready\n")
     assert len(tomcat(spark, tmp_path / "catalina.*.log.gz")) == 1
     assert tomcat(spark, tmp_path / "nothing.out") == []
 
@@ -77,11 +77,11 @@ def test_entries_across_splits(spark, tmp_path):
 
 PG = (
     "dropped before the first header\n"
-    "2026-08-04 12:00:00.123 UTC [12345] ERROR:  duration: 12.345 ms  request_id=req-abc123\n"
-    "\tstatement: SELECT * FROM orders WHERE id = $1\n"
+    "2026-08-04 12:00:00.500 UTC [777] ERROR:  relation is missing, request_id=ck-00000003\n"
+    "\tin statement: DELETE FROM carts\n"
     "\n"
     "2026-08-04 12:00:04.000 UTC [1] DEBUG1:  not a header\n"
-    "2026-08-04 12:00:05.789 UTC [12346] LOG:  connection authorized\n"
+    "2026-08-04 12:00:05.750 UTC [778] LOG:  vacuum finished\n"
 )
 
 
@@ -90,10 +90,10 @@ def test_postgres_log(spark, tmp_path):
     path.write_text(PG)
     raw = sources.read_postgres_log(spark, str(path), "app")
     first, second = raw.orderBy("timestamp").collect()
-    assert (first.level, first.pid, first.timestamp) == ("ERROR", "12345", "2026-08-04 12:00:00.123 UTC")
+    assert (first.level, first.pid, first.timestamp) == ("ERROR", "777", "2026-08-04 12:00:00.500 UTC")
     assert first.message.split("\n") == [
-        " duration: 12.345 ms  request_id=req-abc123",
-        "\tstatement: SELECT * FROM orders WHERE id = $1",
+        " relation is missing, request_id=ck-00000003",
+        "\tin statement: DELETE FROM carts",
         "",
         "2026-08-04 12:00:04.000 UTC [1] DEBUG1:  not a header",
     ]
@@ -101,7 +101,7 @@ def test_postgres_log(spark, tmp_path):
     (tmp_path / "empty.log").write_text("")
     assert sources.read_postgres_log(spark, str(tmp_path / "empty.log"), "app").count() == 0
     event = norm.normalize(raw, "postgres").orderBy("ts").first()
-    assert (event.host, event.level, event.identifiers) == ("pid:12345", "ERROR", {"request_id": "req-abc123"})
+    assert (event.host, event.level, event.identifiers) == ("pid:777", "ERROR", {"request_id": "ck-00000003"})
 
 
 def _write_json(path, records):
