@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logbraid.config import ID_MATCH, SEMANTIC_SIMILARITY, SOURCE_SYSTEMS, CorrelationConfig
+from logbraid.config import ID_MATCH, SEMANTIC_SIMILARITY, CorrelationConfig
 from logbraid.functions.identifiers import extract_identifiers
 from logbraid.functions.times import floor_tile
 from logbraid.operators.counts import row_counts
