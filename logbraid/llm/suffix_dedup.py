@@ -8,8 +8,8 @@ one place in 16. Suffixes of one sampled place are neighbours and form a run.
 1. Runs are dealt by the hash of their place into buckets. Each bucket is sorted by (place, content of the
    run): this ranks the cover sample. A run whose content is also in an earlier document is removed
    whole; a place that only one content has settles its suffixes as free of ties.
-2. The suffixes of the runs left, at the edges of repeats, are dealt by their fingerprint, and one bucket of them at a time is
-   sorted to resolve the ties.
+2. The runs left, at the edges of repeats, are dealt by their place with the text they span, and one bucket of
+   suffixes at a time is sorted to resolve the ties. A hot place, with many contents, deals its suffixes one by one by fingerprint.
 3. What was found goes back to the documents, which are shuffled once.
 
 Each task first reduces what it has: of a repeat it sends the first document only, and of a place with many
@@ -32,12 +32,13 @@ from logbraid.llm.arrow_text import (
 
 K = 20
 POSITION_BITS = 22
-CHUNK = 1 << 20
-FLUSH = 2_000_000
-BUCKETS_PER_PARTITION = 4
-#: A task sends at most so many contents of one place; places with more are settled suffix by suffix.
-CONTENTS = 8
-WHOLE, EDGE = 0, 1
+CHUNK = 1 << 19
+FLUSH = 1_000_000
+#: A place with more contents than this in one task, or than MANY in all, is hot: its suffixes are dealt one by one.
+CONTENTS, MANY = 8, 1_000
+#: What is known of a run: an earlier document has all of it; its suffixes must be compared with the other runs of its place; or,
+#: as the place is hot, with all suffixes of the same fingerprint.
+WHOLE, EDGE, HOT = 0, 1, 2
 BLOB = "part long, blob binary"
 _U = np.uint64
 
@@ -90,10 +91,12 @@ def _chunks(batch: pa.RecordBatch, length: int):
                 yield ids, np.array([at]), piece, np.array([0]), np.array([len(piece)])
 
 
-def _found(doc: np.ndarray, lo: np.ndarray, count: np.ndarray, kind, parts: int) -> Iterator[tuple[int, bytes]]:
-    """What was found, dealt by document: parts below zero."""
+def _found(doc: np.ndarray, lo: np.ndarray, count: np.ndarray, kind: int, parts: int, place=None) -> Iterator[tuple[int, bytes]]:
+    """What was found, dealt by document: parts below zero. For an edge, the place decides the bucket its suffixes go to."""
     if len(doc):
-        code = count * 2 + kind
+        code = count * 4 + kind
+        if place is not None:
+            code = code + ((mix(place.astype(np.uint64)) >> _U(40)).astype(np.int64) << 8)
         to = (mix(doc.astype(np.uint64)) % _U(parts)).astype(np.int64)
         for p, columns in by_part(to, doc, lo, code):
             yield -1 - p, pack(*columns)
@@ -133,12 +136,13 @@ def _send_runs(columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch
     place, content, doc, lo, count = (c[order] for c in (place, content, doc, lo, count))
     least, contents, rank = _firsts(place, content, doc)
     later = doc > least
-    many = ~later & (contents > CONTENTS)
+    hot = ~later & (contents > CONTENTS)
     rows = list(_found(doc[later], lo[later], count[later], WHOLE, parts))
-    rows += _found(doc[many], lo[many], count[many], EDGE, parts)
-    send = ~later & (~many | (rank < 2))
-    buckets = parts * BUCKETS_PER_PARTITION
-    to = (mix(place[send].astype(np.uint64)) % _U(buckets)).astype(np.int64)
+    rows += _found(doc[hot], lo[hot], count[hot], HOT, parts)
+    # Of a hot place two contents are enough to tell the other tasks.
+    send = ~later & (~hot | (rank < 2))
+    to = (mix(place[send].astype(np.uint64)) % _U(parts)).astype(np.int64)
+    count = count * 2 + hot
     for p, (pl, co, d, at, n) in by_part(to, *(c[send] for c in (place, content, doc, lo, count))):
         rows.append((p, pack(np.diff(pl, prepend=0), co, d, at, n)))
     yield from _batches(rows)
@@ -163,10 +167,11 @@ def _map_runs(length: int, parts: int):
 
 
 def _passed(table: pa.Table) -> pa.Table | None:
-    """Rows for documents pass a bucket stage as they are."""
-    if table.num_rows and table.column("part")[0].as_py() < 0:
-        return table.select(["part", "blob"])
-    return None
+    """Rows for documents pass a bucket stage."""
+    part = table.column("part")[0].as_py()
+    if part >= 0:
+        return None
+    return pa.Table.from_batches([_table([(part, pack(*unpack_all(table.column("blob"), 3)))])])
 
 
 def _rank_cover(parts: int):
@@ -175,6 +180,7 @@ def _rank_cover(parts: int):
             return same
         got = [unpack(b.as_buffer()) for b in table.column("blob")]
         place, content, doc, lo, count = (np.concatenate(c) for c in zip(*([np.cumsum(g[0]), *g[1:]] for g in got), strict=True))
+        del got
         values, lengths = np.unique(place, return_counts=True)
         keep = np.isin(place, values[lengths > 1])
         place, content, doc, lo, count = (c[keep] for c in (place, content, doc, lo, count))
@@ -183,10 +189,15 @@ def _rank_cover(parts: int):
         order = np.lexsort((content, place))
         place, content, doc, lo, count = (c[order] for c in (place, content, doc, lo, count))
         least, contents, _ = _firsts(place, content, doc)
+        starts, sizes = runs_of(place)
+        hot = np.repeat(np.logical_or.reduceat(count % 2 == 1, starts), sizes) | (contents > MANY)
+        told = count % 2 == 1  # its task has marked it
+        count = count // 2
         later = doc > least
-        edge = ~later & (contents > 1)
+        edge = ~later & (contents > 1) & ~told
         rows = list(_found(doc[later], lo[later], count[later], WHOLE, parts))
-        rows += _found(doc[edge], lo[edge], count[edge], EDGE, parts)
+        for kind, take in ((EDGE, edge & ~hot), (HOT, edge & hot)):
+            rows += _found(doc[take], lo[take], count[take], kind, parts, place[take])
         return pa.Table.from_batches([_table(rows)])
 
     return run
@@ -201,18 +212,34 @@ def _per_document(table: pa.Table) -> pa.Table:
     return pa.table({"found_id": pa.array(doc[starts], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
 
-def _send_suffixes(columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    suffix, doc, at = columns
+def _ties(suffix: np.ndarray, doc: np.ndarray, at: np.ndarray):
+    """Rows in the order of the suffixes, and which of them an earlier document has."""
     order = np.argsort(suffix, kind="stable")
     suffix, doc, at = suffix[order], doc[order], at[order]
     starts, sizes = runs_of(suffix)
-    later = doc > np.repeat(np.minimum.reduceat(doc, starts), sizes)
-    rows = list(_found(doc[later], at[later], np.ones(int(later.sum()), np.int64), WHOLE, parts))
-    buckets = parts * BUCKETS_PER_PARTITION
-    send = ~later
-    to = (mix(suffix[send].view(np.uint64)) % _U(buckets)).astype(np.int64)
-    for p, (x, d, a) in by_part(to, suffix[send], doc[send], at[send]):
-        rows.append((p, pack(np.diff(x, prepend=x[:1]), x[:1].repeat(len(x)), d, a)))
+    later = doc > np.repeat(np.minimum.reduceat(doc, starts), sizes) if len(doc) else np.zeros(0, bool)
+    return suffix, doc, at, later
+
+
+def _one(doc: np.ndarray, at: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    return list(_found(doc, at, np.ones(len(doc), np.int64), WHOLE, parts))
+
+
+def _send_suffixes(columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    suffix, doc, at, later = _ties(*columns)
+    rows = _one(doc[later], at[later], parts)
+    suffix, doc, at = suffix[~later], doc[~later], at[~later]
+    to = (mix(suffix.view(np.uint64)) % _U(parts)).astype(np.int64)
+    for p, (x, d, a) in by_part(to, suffix, doc, at):
+        rows.append((parts + p, pack(np.diff(x, prepend=x[:1]), x[:1].repeat(len(x)), d, a)))
+    yield from _batches(rows)
+
+
+def _send_runs_of_text(data, start, doc, lo, count, place, length: int, parts: int) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for p, (s, d, a, n) in by_part(place % parts, start, doc, lo, count):
+        columns = pack(d, a, n)
+        rows.append((p, np.int64(len(columns)).tobytes() + columns + data[expand(s, n + length - 1)].tobytes()))
     yield from _batches(rows)
 
 
@@ -221,23 +248,22 @@ def _map_suffixes(length: int, parts: int):
         held, size = [], 0
         for batch in batches:
             batch = batch.filter(pa.compute.is_valid(batch.column("spans")))
-            for part in slices(batch, "text", CHUNK):
+            for part in slices(batch, "text", 8 * CHUNK):
                 data, offsets = column_bytes(part.column("text"))
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                at_row, at = [], []
-                for row, span in enumerate(part.column("spans")):
-                    lo, code = unpack(span.as_buffer())
-                    edge = code % 2 == EDGE
-                    places = expand(lo[edge], code[edge] // 2)
-                    at.append(places)
-                    at_row.append(np.full(len(places), row))
-                at, row = np.concatenate(at), np.concatenate(at_row)
-                if not len(at):
-                    continue
-                where = at + offsets[row]
-                # One text, however long, is hashed as a whole: a fingerprint does not depend on its place.
-                held.append((range_hash(prefix_hash(data), where, where + length).view(np.int64), ids[row], at))
-                size += len(at)
+                spans = [unpack(s.as_buffer()) for s in part.column("spans")]
+                row = np.repeat(np.arange(len(spans)), [len(s[0]) for s in spans])
+                lo, code = (np.concatenate(c) for c in zip(*spans, strict=True))
+                kind, count, place = code % 4, (code & 255) // 4, code >> 8
+                e = kind == EDGE
+                if e.any():
+                    yield from _send_runs_of_text(data, lo[e] + offsets[row[e]], ids[row[e]], lo[e], count[e], place[e], length, parts)
+                hot = kind == HOT
+                if hot.any():
+                    at, of = expand(lo[hot], count[hot]), np.repeat(row[hot], count[hot])
+                    where = at + offsets[of]
+                    held.append((range_hash(prefix_hash(data), where, where + length).view(np.int64), ids[of], at))
+                    size += len(at)
                 if size >= FLUSH:
                     yield from _send_suffixes([np.concatenate(c) for c in zip(*held, strict=True)], parts)
                     held, size = [], 0
@@ -247,18 +273,28 @@ def _map_suffixes(length: int, parts: int):
     return run
 
 
-def _sort_bucket(parts: int):
+def _sort_bucket(length: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         if (same := _passed(table)) is not None:
             return same
-        got = [unpack(b.as_buffer()) for b in table.column("blob")]
-        suffix, doc, at = (np.concatenate(c) for c in zip(*([np.cumsum(g[0]) + g[1], *g[2:]] for g in got), strict=True))
-        order = np.argsort(suffix, kind="stable")
-        suffix, doc, at = suffix[order], doc[order], at[order]
-        starts, sizes = runs_of(suffix)
-        later = doc > np.repeat(np.minimum.reduceat(doc, starts), sizes)
-        rows = list(_found(doc[later], at[later], np.ones(int(later.sum()), np.int64), WHOLE, parts))
-        return pa.Table.from_batches([_table(rows)])
+        suffixes, docs, places = [], [], []
+        one_by_one = table.column("part")[0].as_py() >= parts
+        for blob in table.column("blob"):
+            raw = memoryview(blob.as_buffer())
+            if one_by_one:
+                step, first, doc, at = unpack(raw)
+                suffixes.append(np.cumsum(step) + first)
+            else:
+                size = int(np.frombuffer(raw, "<i8", 1)[0])
+                doc, lo, count = unpack(raw[8 : 8 + size])
+                sizes = count + length - 1
+                start = expand(np.cumsum(sizes) - sizes, count)
+                suffixes.append(range_hash(prefix_hash(np.frombuffer(raw, np.uint8, offset=8 + size)), start, start + length).view(np.int64))
+                doc, at = np.repeat(doc, count), expand(lo, count)
+            docs.append(doc)
+            places.append(at)
+        _, doc, at, later = _ties(*(np.concatenate(c) for c in (suffixes, docs, places)))
+        return pa.Table.from_batches([_table(_one(doc[later], at[later], parts))])
 
     return run
 
@@ -285,9 +321,9 @@ def _cut(length: int, keep: Sequence[str], as_text: bool):
                     for found in (span, more):
                         if found.is_valid:
                             lo, code = unpack(found.as_buffer())
-                            whole = code % 2 == WHOLE
+                            whole = code % 4 == WHOLE
                             los.append(lo[whole])
-                            his.append(lo[whole] + code[whole] // 2 - 1 + length)
+                            his.append(lo[whole] + (code[whole] & 255) // 4 - 1 + length)
                     sizes.append(len(text))
                     if sum(map(len, los)):
                         lo, hi = _merge(np.concatenate(los), np.concatenate(his))
@@ -320,8 +356,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep: Sequence[str] = (
     doc_id is a whole number that names one text; a row that is given twice comes out twice. A null doc_id is no
     document: its row stays as it is. Other columns are ignored unless named in `keep`; no name clashes.
     """
-    if min_bytes < 8:
-        raise ValueError("min_bytes must be at least 8")
+    if not 8 <= min_bytes <= 62 + K:
+        raise ValueError(f"min_bytes must lie between 8 and {62 + K}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(
@@ -337,7 +373,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep: Sequence[str] = (
     # the texts are shuffled once and their exchange is used again.
     marked = texts.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("found_id"), "left").drop("found_id")
     suffixes = marked.mapInArrow(_map_suffixes(min_bytes, parts), BLOB)
-    ties = suffixes.groupBy("part").applyInArrow(_sort_bucket(parts), BLOB)
+    ties = suffixes.groupBy("part").applyInArrow(_sort_bucket(min_bytes, parts), BLOB)
     more = ties.groupBy("part").applyInArrow(_per_document, "found_id long, spans binary").withColumnRenamed("spans", "more")
     both = marked.join(more.hint("shuffle_hash"), F.col("doc_id") == F.col("found_id"), "left").drop("found_id")
     fields = "".join(f", kept_{c} {dict(docs.dtypes)[c]}" for c in keep)
