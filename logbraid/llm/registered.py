@@ -47,3 +47,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op1_ngram_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logbraid.llm.ngram_join import similarity_classes
+
+    return similarity_classes(read(spark, sf_dir, "documents"), k=4, percent=85)
