@@ -37,7 +37,7 @@ def _fingerprints(df: DataFrame, k: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, span: int = 13) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, item_ids array<string>) for each row of docs(doc_id, text), against items(item_id, text).
+    """(doc_id, text_key = xxhash64(text), n_words, n_hit, n_items, item_ids array<string>) for each row of docs(doc_id, text), against items(item_id, text).
 
     Words are runs of 0-9, a-z and characters beyond ASCII, after A-Z became lower case. A window is `span` words in a
     row of an item, or a whole item of fewer words. n_hit counts the words of a document inside any occurrence of a window;
@@ -90,6 +90,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13) -> DataFram
     counted = docs.select(*key, F.size(split_words(F.col("text"), NOT_A_WORD_ANY_CASE)).cast("long").alias("n_words"))
     return counted.alias("d").join(judged.alias("j"), _same("d", "j"), "left").select(
         "d.doc_id",
+        "d.text_key",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
@@ -99,3 +100,9 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13) -> DataFram
 
 def _same(a: str, b: str):
     return (F.col(f"{a}.text_key") == F.col(f"{b}.text_key")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, span: int = 13, share: int = 20) -> DataFrame:
+    """(bad_id, bad_text = xxhash64(text)) of the documents of which at least one word in `share` is hit; each once."""
+    bad = contamination(docs, items, span).where(f"n_hit > 0 and {share} * n_hit >= n_words")
+    return cut(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_text")).distinct())

@@ -49,8 +49,137 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op1_ngram_join")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op1_ngram_join",
+    rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+    SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (
+    SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN both_ways l ON l.x = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = d.doc_id
+""",
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logbraid.llm.ngram_join import similarity_classes
 
     return similarity_classes(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+#: The operators' contract fixes these rules.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: Hosts with a page that holds this are listed.
+JUNK = "***"
+
+_HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+_FITTING = ", ".join(f"('{a}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for a, r in URL_RULES)
+
+
+@query(
+    "op3_url_filters",
+    f"""
+WITH p AS (SELECT page_id, html, {_HOST} AS host, {_PATH} AS path FROM pages),
+listed AS (SELECT DISTINCT host FROM p WHERE contains(html, '{JUNK}')),
+rules(action, rule, rule_host, rule_path) AS (VALUES {_FITTING}),
+fit AS (
+    SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+    FROM (SELECT DISTINCT host, path FROM p), rules
+    WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path)
+SELECT page_id, p.host, p.path, rule, listed.host IS NOT NULL AS listed,
+    coalesce(action, CASE WHEN listed.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path LEFT JOIN listed ON p.host = listed.host
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logbraid.llm.url_filters import host_of, judge_urls
+
+    pages = read(spark, sf_dir, "pages")
+    listed = pages.where(F.contains("html", F.lit(JUNK))).select(host_of(F.col("url")).alias("host")).distinct()
+    return judge_urls(pages.select("page_id", "url"), listed, URL_RULES)
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logbraid.llm.html_extraction import extract_text
+
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logbraid.llm.quality_rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents")).drop("character_distance", "word_distance")
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GRAMS = "list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))"
+
+
+@query(
+    "op6_benchmark_decontamination",
+    f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, unnest({_GRAMS}) AS gram FROM b),
+grams AS (
+    SELECT doc_id, k, unnest({_GRAMS}) AS gram, unnest(range(0, len(w) - k + 1)) AS at
+    FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k),
+hits AS (SELECT doc_id, at, k, item_id FROM grams JOIN windows USING (k, gram)),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + k)) AS place FROM hits) GROUP BY doc_id),
+listed AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logbraid.llm.decontamination import contamination
+
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logbraid.llm.license_scan import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logbraid.llm.quality_classifier import quality_scores
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out)
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from logbraid.llm.token_counts import section_tokens
+
+    return section_tokens(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
