@@ -27,9 +27,10 @@ def _words(df: DataFrame) -> DataFrame:
 
 def _windows(df: DataFrame, length: int, keep: list[str]) -> DataFrame:
     """(keep, at, gram): the words of each window of `length` words and its first place, from 0."""
+    # Outer, as an inner explode would be preceded by a filter that evaluates the whole array, and its words for each element, again.
     starts = F.sequence(F.lit(1), F.size("words") - (length - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(length)), " "))
-    return df.where(F.size("words") >= length).select(*keep, F.posexplode(grams).alias("at", "gram"))
+    grams = F.when(F.size("words") >= length, F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(length)), " ")))
+    return df.select(*keep, F.posexplode_outer(grams).alias("at", "gram")).where("gram is not null")
 
 
 def _fingerprints(df: DataFrame, k: int) -> DataFrame:
@@ -53,10 +54,10 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13) -> DataFram
     items = cut(_words(items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))).select("item_id", "words"))
     worded = _words(docs).select(*key, "words")
 
-    prints = _fingerprints(items, k).select(F.explode("fingerprints").alias("fingerprint")).distinct()
+    prints = _fingerprints(items, k).select(F.explode_outer("fingerprints").alias("fingerprint")).where("fingerprint is not null").distinct()
     found = (
         _fingerprints(worded, k)
-        .select(*key, F.explode("fingerprints").alias("fingerprint"))
+        .select(*key, F.explode_outer("fingerprints").alias("fingerprint"))
         .join(broadcast_within(prints, MAX_ROWS), "fingerprint", "left_semi")
         .select(*key)
         .distinct()

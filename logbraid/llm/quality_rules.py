@@ -25,8 +25,8 @@ COMMON_WORDS = (
 ).split()
 CODES = "".join(chr(0x41 + i) for i in range(len(COMMON_WORDS)))
 MIN_WORDS = 50
-MAX_CHARACTER_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.45
+#: Limits of the two distances: for long texts, and what is added to it over the root of the number of words, as short texts scatter more.
+CHARACTER_LIMIT, WORD_LIMIT = (0.18, 1.2), (0.14, 3.0)
 MAX_LANGUAGES = 10_000
 
 
@@ -83,15 +83,16 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 def quality_rules(
     docs: DataFrame,
     min_words: int = MIN_WORDS,
-    max_character_distance: float = MAX_CHARACTER_DISTANCE,
-    max_word_distance: float = MAX_WORD_DISTANCE,
+    character_limit: tuple[float, float] = CHARACTER_LIMIT,
+    word_limit: tuple[float, float] = WORD_LIMIT,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(doc_id, the columns in `keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, character_distance, word_distance, base_failed, kept)
     for each row of docs(doc_id, text, lang).
 
     base_failed: fewer than 20 words, or more than 30 % of the words in windows of eight words that the text has twice or more.
-    kept: not base_failed, and either fewer than `min_words` words or both distances within their limits. A null or empty
+    kept: not base_failed, and either fewer than `min_words` words or both distances within their limits,
+    which are a + b / sqrt(n_words) for a limit (a, b). A null or empty
     text has no words and fails. Rows without a language are compared with each other. Repeated rows count as often as
     they are given and come out as often; an empty table gives no rows; other columns are ignored unless named.
     """
@@ -114,7 +115,9 @@ def quality_rules(
         .withColumn("word_distance", jensen_shannon(_shares(F.col("common")), _shares(F.col("all_common"))))
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     )
-    near = (F.col("character_distance") <= max_character_distance) & (F.col("word_distance") <= max_word_distance)
+    root = F.sqrt(F.greatest("n_words", F.lit(1)))
+    limit = lambda pair: F.lit(pair[0]) + F.lit(pair[1]) / root
+    near = (F.col("character_distance") <= limit(character_limit)) & (F.col("word_distance") <= limit(word_limit))
     return judged.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") < min_words) | near)).select(
         "doc_id", *(F.col(f"kept_{c}").alias(c) for c in keep), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "character_distance", "word_distance", "base_failed", "kept",

@@ -57,7 +57,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
     rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
-    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 shared AS (
@@ -125,7 +125,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_GRAMS = "list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))"
+_GRAMS = "list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))"
 
 
 @query(
@@ -133,12 +133,12 @@ _GRAMS = "list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i +
     f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark) WHERE len(w) > 0),
-windows AS (SELECT DISTINCT item_id, k, unnest({_GRAMS}) AS gram FROM b),
+spans AS (SELECT DISTINCT item_id, k, unnest({_GRAMS}) AS gram FROM b),
 grams AS (
-    SELECT doc_id, k, unnest({_GRAMS}) AS gram, unnest(range(0, len(w) - k + 1)) AS at
+    SELECT doc_id, k, unnest({_GRAMS}) AS gram, unnest(range(0, len(w) - k + 1)) AS place
     FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k),
-hits AS (SELECT doc_id, at, k, item_id FROM grams JOIN windows USING (k, gram)),
-covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + k)) AS place FROM hits) GROUP BY doc_id),
+hits AS (SELECT doc_id, place, k, item_id FROM grams JOIN spans USING (k, gram)),
+covered AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(place, place + k)) AS word FROM hits) GROUP BY doc_id),
 listed AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
     FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
