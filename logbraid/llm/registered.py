@@ -117,7 +117,50 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read(spark, sf_dir, "pages"))
 
 
-@query("op5_quality_rules")
+def _quality_sql() -> str:
+    from logbraid.llm.quality_rules import CHARACTER_LIMIT, CLASSES, COMMON_WORDS, MIN_WORDS, SYMBOLS, WORD_LIMIT
+
+    found = lambda c: "len(regexp_extract_all(t, '" + c.replace("'", "''") + "'))"
+    classes = [r"[\x20\x09-\x0D]", *CLASSES]
+    rest = " - ".join(["length(t)", *map(found, classes)])
+    characters = ", ".join([*map(found, classes), rest, "strlen(t) - length(t)"])
+    common = ", ".join(f"len(list_filter(w, lambda x: x = '{word}'))" for word in COMMON_WORDS)
+    limit = lambda pair: f"{pair[0]} + {pair[1]} / sqrt(greatest(n_words, 1))"
+    return rf"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS language, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+grams AS (
+    SELECT doc_id, unnest(range(0, len(w) - 7)) AS place, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram
+    FROM d WHERE len(w) >= 8),
+twice AS (SELECT doc_id, place FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(place, place + 8)) AS p FROM twice) GROUP BY doc_id),
+lines AS (
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+histograms AS (SELECT doc_id, language, [{characters}] AS characters, [{common}] AS common, len(w) AS n FROM d),
+bins AS (
+    SELECT doc_id, language, 'c' AS kind, unnest(characters) AS n, unnest(range(len(characters))) AS i FROM histograms
+    UNION ALL
+    SELECT doc_id, language, 'w', unnest(list_append(common, n - list_sum(common))), unnest(range(len(common) + 1)) FROM histograms),
+shares AS (
+    SELECT doc_id, kind, n / greatest(sum(n) OVER (PARTITION BY doc_id, kind), 1) AS p,
+        sum(n) OVER (PARTITION BY language, kind, i) / greatest(sum(n) OVER (PARTITION BY language, kind), 1) AS q
+    FROM bins),
+distances AS (
+    SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS x
+    FROM shares GROUP BY doc_id, kind),
+counted AS (
+    SELECT doc_id, len(w) AS n_words, length(t) - {found(classes[0])} AS word_chars, {found(SYMBOLS)} AS n_symbols,
+        coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT j.*, NOT base_failed AND (n_words < {MIN_WORDS} OR c.x <= {limit(CHARACTER_LIMIT)} AND w.x <= {limit(WORD_LIMIT)}) AS kept
+FROM judged j JOIN distances c ON c.doc_id = j.doc_id AND c.kind = 'c' JOIN distances w ON w.doc_id = j.doc_id AND w.kind = 'w'
+"""
+
+
+@query("op5_quality_rules", _quality_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logbraid.llm.quality_rules import quality_rules
 
