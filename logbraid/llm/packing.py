@@ -20,44 +20,83 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logbraid.llm.arrow_text import slices
+from logbraid.llm.arrow_text import slices, tidy_map
 from logbraid.session import new_folder
 
-CACHED_WORDS = 600_000
-_WORD_AND_TAIL = re.compile(r"([a-z]+)([^a-z0-9'<\s]+)")
+CACHED_WORDS = 300_000
+#: Lower-case letters of Latin-1, which no normalization changes, and a tail of ASCII punctuation.
+_WORD_AND_TAIL = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]+)")
+#: Letters of this many words are encoded in one call.
+JOINED = 2_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, seq long"
 
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
+    """The tokenizer, which of its tokens end a word, and the ids of words seen so far."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {"": b""}
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends[i] = token.endswith("</w>")
+    return tokenizer, ends, {"": b""}
+
+
+def _encode_letters(words: list[str], tokenizer, ends: np.ndarray) -> list[bytes]:
+    """The ids of words of lower-case letters of Latin-1 only. Each is one word of the vocabulary, so its last token is the only one that
+    ends a word, and many words can be encoded in one text."""
+    texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+    ids = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+    raw, stops = ids.tobytes(), ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+    if len(stops) != len(words):
+        raise ValueError("the vocabulary does not mark the ends of words")
+    return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
 
 def _learn(words: set[str], path: str) -> dict[str, bytes]:
     """The cache with the ids of all `words`. This vocabulary drops white space and splits words from punctuation,
     so a text's ids are those of its words, and a word's are those of its letters in lower case and of its tail."""
-    tokenizer, cache = _tokenizer(path)
+    tokenizer, ends, cache = _tokenizer(path)
     if len(cache) > CACHED_WORDS:
         cache.clear()
         cache[""] = b""
-    unknown = words - cache.keys()
-    parts: dict[str, tuple[str, ...]] = {}
-    for word in unknown:
-        parts[word] = (word,)
-        if word.isascii() and "<" not in word:
-            lower = word.lower()
-            both = _WORD_AND_TAIL.fullmatch(lower)
-            parts[word] = both.groups() if both else (lower,)
-    pieces = list({p for own in parts.values() for p in own} - cache.keys())
-    encoded = tokenizer.encode_batch(pieces, add_special_tokens=False)
-    ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, encoded, strict=True)}
-    cache.update(ids)
-    cache.update({w: b"".join([cache[p] for p in own]) for w, own in parts.items()})
+    letters, others, built = set(), set(), []
+    for word in words:
+        if word in cache:
+            continue
+        if "<" in word or not word.isascii() and max(word) > "ÿ":
+            others.add(word)
+            continue
+        lower = word.lower()
+        if lower.isalpha():
+            letters.add(lower)
+            if lower != word:
+                built.append((word, lower, ""))
+        elif both := _WORD_AND_TAIL.fullmatch(lower):
+            letters.add(both[1])
+            others.add(both[2])
+            built.append((word, both[1], both[2]))
+        else:
+            others.add(lower)
+            built.append((word, lower, ""))
+    fresh = [w for w in letters if w not in cache]
+    cache.update(zip(fresh, _encode_letters(fresh, tokenizer, ends), strict=True))
+    fresh = [w for w in others if w not in cache]
+    encoded = tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+    cache.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(fresh, encoded, strict=True))
+    for word, first, tail in built:
+        cache[word] = cache[first] + cache[tail]
     return cache
 
 
+def forget(path: str) -> None:
+    """Empties the cache, so that an idle worker holds no words."""
+    _tokenizer(path)[2].clear()
+    _tokenizer(path)[2][""] = b""
+
+
 def word_ids(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
     words = [(text or "").replace("\n", " ").split(" ") for text in texts]
@@ -87,6 +126,7 @@ def _map_pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "seq"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        forget(path)
 
     return run
 
@@ -189,7 +229,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     spark = docs.sparkSession
     folder = new_folder(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts.mapInArrow(_map_pieces(tokenizer_path, capacity, end_id, with_ids), PIECE).write.parquet(folder)
+    texts.mapInArrow(tidy_map(_map_pieces(tokenizer_path, capacity, end_id, with_ids)), PIECE).write.parquet(folder)
     pieces = spark.read.schema(PIECE).parquet(folder)
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     # At most `capacity` rows come to the driver.
