@@ -29,11 +29,13 @@ class CorrelationConfig:
     bucket_seconds: int = 120
     chunk_size: int = 25
     min_confidence: float = 0.55
-    max_lines_per_entry: int = 500
-    max_events_per_group: int = 10_000
-    max_entries: int = 20_000
     identifier_patterns: dict[str, str] = field(default_factory=lambda: dict(IDENTIFIER_PATTERNS))
 
+    # Caps on what is read; without one, all is read.
+    max_lines_per_entry: int | None = None
+    max_events_per_group: int | None = None
+    max_entries: int | None = None
+
     # Sizing of the Spark jobs; none of these changes a result.
     rows_per_cell: int = 20_000
     fold_limit: int = 4_096

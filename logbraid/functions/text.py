@@ -16,8 +16,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _SPACE, "")
 
 
-def event_line(event_id: Column, source: Column, ts: Column, level: Column, message: Column) -> Column:
-    one_line = F.substring(F.regexp_replace(strip(message), "\n", " "), 1, 300)
+def event_line(
+    event_id: Column, source: Column, ts: Column, level: Column, message: Column, max_chars: int | None = None
+) -> Column:
+    """One line per event; with `max_chars`, only so much of the message."""
+    one_line = F.regexp_replace(strip(message), "\n", " ")
+    if max_chars is not None:
+        one_line = F.substring(one_line, 1, max_chars)
     shown_level = F.coalesce(F.nullif(level, F.lit("")), F.lit("-"))
     return F.concat_ws(" | ", event_id, source, iso_text(ts), shown_level, one_line)
 

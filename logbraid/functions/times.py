@@ -31,11 +31,20 @@ def parse_tomcat_ts(text: Column) -> Column:
     )
 
 
+#: Further forms of timestamps, tried in this order.
+OTHER_FORMS = (
+    "yyyy-MM-dd HH:mm:ss,SSS", "yyyy/MM/dd HH:mm:ss", "MMM d yyyy HH:mm:ss", "yyyyMMdd'T'HHmmssX", "dd-MMM-yy hh.mm.ss.SSSSSS a",
+)
+
+
 def parse_ts_or_now(text: Column, now: Column) -> Column:
-    """Missing text gives `now`; text that is no timestamp gives null."""
+    """Missing text gives `now`; text that is no timestamp gives null, as does a time of day alone."""
     plain = F.regexp_replace(F.trim(text), _NAMED_ZONE, "")
     missing = text.isNull() | (text == "")
-    return F.when(missing, now).otherwise(plain.try_cast("timestamp"))
+    dated = F.when(~plain.rlike(r"^T?\d{1,2}:"), plain)
+    return F.when(missing, now).otherwise(
+        F.coalesce(dated.try_cast("timestamp"), *(F.try_to_timestamp(dated, F.lit(form)) for form in OTHER_FORMS))
+    )
 
 
 def iso_text(ts: Column) -> Column:
@@ -49,4 +58,4 @@ def iso_text(ts: Column) -> Column:
 def floor_tile(us: Column, width_us: int) -> Column:
     """Number of the tile of `width_us` microseconds that holds `us`; exact for negative values."""
     width = F.lit(width_us)
-    return ((us - F.pmod(us, width)) / width).cast("bigint")
+    return F.call_function("div", us - F.pmod(us, width), width)

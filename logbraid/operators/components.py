@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from logbraid.config import CorrelationConfig
 from logbraid.session import broadcast_within, cut
 
-MAX_ROUNDS = 60
-
 
 def _with_least(edges: DataFrame, key: str, other: str) -> DataFrame:
     """Adds `m`, the smallest `other` per `key`. A key is handled in salted parts, so that a hub
@@ -56,11 +54,10 @@ def star_roots(edges: DataFrame, a: str, b: str) -> DataFrame:
     current = cut(
         edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     )
-    for _ in range(MAX_ROUNDS):
-        if _settled(current):
-            return current.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    # Every round that is not the last shrinks the sum of all parents, so this ends.
+    while not _settled(current):
         current = cut(_small_star(_large_star(current)).distinct())
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    return current.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "event_id") -> DataFrame:

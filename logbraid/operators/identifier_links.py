@@ -19,6 +19,7 @@ from logbraid.config import ID_MATCH, CorrelationConfig
 from logbraid.functions.levels import lookup
 from logbraid.functions.times import floor_tile
 from logbraid.operators.event_ids import edge_id
+from logbraid.session import broadcast_within
 
 _TILE = ["id_key", "id_value", "tile"]
 
@@ -66,11 +67,23 @@ def identifier_tiles(index: DataFrame, cfg: CorrelationConfig = CorrelationConfi
     ).drop("min_id", "opens", "session_no")
 
 
-def session_members(index: DataFrame, tiles: DataFrame) -> DataFrame:
+def _with_tiles(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig) -> DataFrame:
+    """Index rows with what `tiles` (with its count `n`) says of their tile. The tiles of hot values are few,
+    as each holds more than `rows_per_cell` rows: they are broadcast, so that a hot value's events stay where they are."""
+    hot = tiles.where(F.col("n") > cfg.rows_per_cell)
+    if hot.isEmpty():
+        return index.join(tiles, _TILE)
+    cold = tiles.where(F.col("n") <= cfg.rows_per_cell)
+    hot = broadcast_within(hot, cfg.broadcast_rows)
+    rest = index.join(broadcast_within(hot.select(*_TILE), cfg.broadcast_rows), _TILE, "left_anti")
+    return index.join(hot, _TILE).unionByName(rest.join(cold, _TILE))
+
+
+def session_members(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     """(event_id, session) for all sessions of two or more events. Neighbouring events of a session are within
     the window, so these are exactly the events with a link."""
-    shared = tiles.where("session_size > 1").select(*_TILE, "session")
-    return index.select(*_TILE, "event_id").join(shared, _TILE).select("event_id", "session")
+    shared = tiles.where("session_size > 1").select(*_TILE, "n", "session")
+    return _with_tiles(index.select(*_TILE, "event_id"), shared, cfg).select("event_id", "session")
 
 
 def linked_events(members: DataFrame) -> DataFrame:
@@ -81,8 +94,11 @@ def unlinked_events(events: DataFrame, members: DataFrame) -> DataFrame:
     return events.join(members.select("event_id"), "event_id", "left_anti")
 
 
-def id_match_pairs(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
-    """All pairs of a (key, value) group within the window, the earlier event as source.
+def id_match_pairs(
+    index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig = CorrelationConfig(), touching: DataFrame | None = None
+) -> DataFrame:
+    """All pairs of a (key, value) group within the window, the earlier event as source. With
+    `touching` (event_id), only pairs with one of these events, and no other pair is made on the way.
 
     An equi-join on (key, value, tile of the later event, distance of the earlier tile). A tile
     of n events is split by hash into ceil(n / rows_per_cell) parts and each part of the
@@ -92,6 +108,7 @@ def id_match_pairs(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig =
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / cfg.rows_per_cell)).cast("int")
     active = tiles.where("n > 1 or n_before > 0 or n_after > 0").select(
         *_TILE,
+        "n",
         "n_before",
         "n_after",
         "group_first",
@@ -99,7 +116,12 @@ def id_match_pairs(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig =
         parts("n_before").alias("parts_before"),
         parts("n_after").alias("parts_after"),
     )
-    placed = index.join(active, _TILE).withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int"))
+    if touching is not None:
+        chosen = touching.select("event_id", F.lit(True).alias("chosen")).distinct()
+        index = index.join(broadcast_within(chosen, cfg.broadcast_rows), "event_id", "left").fillna(False, ["chosen"])
+    else:
+        index = index.withColumn("chosen", F.lit(True))
+    placed = _with_tiles(index, active, cfg).withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
 
     # Cells an event enters as the earlier one: its own tile (distance 0) and the next (1).
@@ -127,6 +149,7 @@ def id_match_pairs(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig =
         F.col("cell.other").alias("target_part"),
         F.col("event_id").alias("source_event_id"),
         F.col("us").alias("source_us"),
+        F.col("chosen").alias("source_chosen"),
     )
     target = placed.withColumn("cell", F.explode(as_target)).select(
         "id_key",
@@ -137,6 +160,7 @@ def id_match_pairs(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig =
         F.col("part").alias("target_part"),
         F.col("event_id").alias("target_event_id"),
         F.col("us").alias("target_us"),
+        F.col("chosen").alias("target_chosen"),
         "group_first",
     )
     cell = ["id_key", "id_value", "tile", "apart", "source_part", "target_part"]
@@ -144,9 +168,11 @@ def id_match_pairs(index: DataFrame, tiles: DataFrame, cfg: CorrelationConfig =
         (F.col("source_us") == F.col("target_us")) & (F.col("source_event_id") < F.col("target_event_id"))
     )
     near = F.col("target_us") - F.col("source_us") <= cfg.id_window_us
+    joined = source.where("source_chosen").join(target, cell)
+    if touching is not None:
+        joined = joined.unionByName(source.where("not source_chosen").join(target.where("target_chosen"), cell))
     return (
-        source.join(target, cell)
-        .where(in_order & near)
+        joined.where(in_order & near)
         .select("source_event_id", "target_event_id", "id_key", "id_value", "group_first")
     )
 

@@ -45,21 +45,26 @@ def run_correlation(
     use_scorer: bool = True,
     scorer: links.ChunkScorer | None = None,
     by: tuple[str, ...] = (),
+    asks: DataFrame | None = None,
+    touching: DataFrame | None = None,
 ) -> CorrelationResult:
     """Correlates a table of log events. `events` is scanned several times, each time for a few columns: hand over a stored table
     (`store.load_events`), not a chain of parsers. Without a `scorer`, the built-in word
     overlap proposes links.
 
-    With `by`, events of different values of those columns are never compared. Event ids and
+    With `touching` (event_id), only identifier edges with one of these events are made; components and incidents stay whole.
+    With `asks`, the scorer sees only events whose `by` columns are in it. With `by`, events of different values of those columns are never compared. Event ids and
     identifier values must then already be distinct between them (see `evaluate.isolated`)."""
     spark = ensure_utc(events.sparkSession)
     index = identifier_links.identifier_index(events, cfg)
     tiles = cut(identifier_links.identifier_tiles(index, cfg))
-    members = identifier_links.session_members(index, tiles)
-    deterministic = identifier_links.id_match_edges(identifier_links.id_match_pairs(index, tiles, cfg), cfg)
+    members = identifier_links.session_members(index, tiles, cfg)
+    deterministic = identifier_links.id_match_edges(identifier_links.id_match_pairs(index, tiles, cfg, touching), cfg)
     unlinked = identifier_links.unlinked_events(events, members)
 
     if use_scorer:
+        if asks is not None:
+            unlinked = unlinked.join(asks, list(by), "left_semi")
         unlinked = cut(unlinked.select(*by, "event_id", "source_system", "ts", "level", "message"))
         bucketed = buckets.time_buckets(unlinked, cfg, by)
         summary = buckets.bucket_summary(bucketed, by)

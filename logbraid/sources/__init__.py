@@ -4,7 +4,7 @@ from logbraid.sources.exports import cloudwatch_records, gcp_records, read_cloud
 from logbraid.sources.logfiles import read_log_lines, read_postgres_log, read_tomcat
 from logbraid.sources.scenarios import read_scenarios
 from logbraid.sources.stitch import stitch_postgres, stitch_tomcat
-from logbraid.sources.union import parse_database_entries, union_sources
+from logbraid.sources.union import parse_database_entries, union_sources, union_with_failures
 
 __all__ = [
     "cloudwatch_records",
@@ -23,5 +23,6 @@ __all__ = [
     "stitch_postgres",
     "stitch_tomcat",
     "union_sources",
+    "union_with_failures",
     "unreadable_lines",
 ]

@@ -29,7 +29,16 @@ def _read_json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     """Records of JSON-lines files, with the text of a broken line in `malformed`."""
     with_text = T.StructType([*schema.fields, T.StructField("malformed", T.StringType(), True)])
     reader = spark.read.schema(with_text).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed")
-    return reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).json(path)
+    # A file that breaks off in the middle is an error, not a shorter file.
+    return reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", False).json(path)
+
+
+def _records(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    """The lines that are records. The reader must be asked for a field besides the broken text, also where a caller only counts; the
+    condition on it always holds."""
+    field = F.col(schema.names[0])
+    read = _read_json(spark, path, schema).where(F.col("malformed").isNull() & (field.isNull() | (F.length(field) >= 0)))
+    return read.drop("malformed")
 
 
 def unreadable_lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
@@ -50,7 +59,7 @@ def cloudwatch_records(
     contains: str | None = None,
     cfg: CorrelationConfig = CorrelationConfig(),
 ) -> DataFrame:
-    """Raw records from exported events; at most `max_events_per_group` of each log group, in
+    """Raw records from exported events. With `max_events_per_group`, the first of each log group in
     time order. The window is a plain comparison on the stored milliseconds, so a columnar
     export prunes on it."""
     if start is not None:
@@ -61,14 +70,15 @@ def cloudwatch_records(
         export = export.where(F.col("logGroupName").isin(groups))
     if contains:
         export = export.where(message_contains(F.col("message"), contains))
-    kept = top_per_group(
-        export,
-        ["logGroupName"],
-        ["timestamp", "eventId", "logStreamName", "message"],
-        cfg.max_events_per_group,
-        tile=floor_tile(F.col("timestamp"), _MINUTE_MS),
-    )
-    return kept.select(
+    if cfg.max_events_per_group is not None:
+        export = top_per_group(
+            export,
+            ["logGroupName"],
+            ["timestamp", "eventId", "logStreamName", "message"],
+            cfg.max_events_per_group,
+            tile=floor_tile(F.col("timestamp"), _MINUTE_MS),
+        )
+    return export.select(
         F.concat_ws(":", F.coalesce("logGroupName", F.lit("")), F.coalesce("logStreamName", F.lit(""))).alias("origin"),
         F.coalesce("message", F.lit("")).alias("message"),
         F.col("timestamp").alias("timestamp_ms"),
@@ -78,7 +88,7 @@ def cloudwatch_records(
 
 
 def read_cloudwatch(spark: SparkSession, path, start=None, end=None, groups=None, contains=None, cfg=CorrelationConfig()):
-    export = _read_json(spark, path, schemas.CLOUDWATCH_EXPORT).where("malformed is null").drop("malformed")
+    export = _records(spark, path, schemas.CLOUDWATCH_EXPORT)
     return cloudwatch_records(export, start, end, groups, contains, cfg)
 
 
@@ -89,7 +99,7 @@ def gcp_records(
     where: Column | None = None,
     cfg: CorrelationConfig = CorrelationConfig(),
 ) -> DataFrame:
-    """Raw records from exported entries: the earliest `max_entries` inside the window."""
+    """Raw records from exported entries inside the window; with `max_entries`, the earliest of them."""
     ts = F.col("timestamp").try_cast("timestamp")
     if start is not None:
         export = export.where(ts >= F.lit(utc(start)))
@@ -97,9 +107,10 @@ def gcp_records(
         export = export.where(ts < F.lit(utc(end)))
     if where is not None:
         export = export.where(where)
-    placed = export.withColumn("_ts", ts)
-    minute = floor_tile(F.unix_millis("_ts"), _MINUTE_MS)
-    export = top_per_group(placed, [], ["_ts", "insertId"], cfg.max_entries, tile=minute)
+    if cfg.max_entries is not None:
+        placed = export.withColumn("_ts", ts)
+        minute = floor_tile(F.unix_millis("_ts"), _MINUTE_MS)
+        export = top_per_group(placed, [], ["_ts", "insertId"], cfg.max_entries, tile=minute)
     flat = flatten_payload(F.col("textPayload"), F.col("jsonPayload"), F.col("protoPayload"))
     return export.withColumn("flat", flat).select(
         F.coalesce(F.nullif("logName", F.lit("")), F.lit("gcp_logging")).alias("origin"),
@@ -116,5 +127,5 @@ def gcp_records(
 
 
 def read_gcp(spark: SparkSession, path, start=None, end=None, where=None, cfg=CorrelationConfig()):
-    export = _read_json(spark, path, schemas.GCP_EXPORT).where("malformed is null").drop("malformed")
+    export = _records(spark, path, schemas.GCP_EXPORT)
     return gcp_records(export, start, end, where, cfg)

@@ -21,11 +21,12 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
     A large plain file is read as many splits in parallel; `block` is the split's byte offset
     and `pos` grows with the line inside it. A path without a match is reported
-    and skipped, and bytes that are not UTF-8 are replaced."""
+    and skipped, and bytes that are not UTF-8 are replaced. A file that breaks off, such as half a gzip file, is
+    an error that names it."""
     frames = []
     for path in dict.fromkeys([paths] if isinstance(paths, str) else paths):
         try:
-            raw = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(path)
+            raw = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", False).text(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -19,7 +19,7 @@ POSTGRES_HEADER = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) (\S+) \[(\d+)\
 
 def number_lines(lines: DataFrame, is_header: Column, is_counted: Column) -> DataFrame:
     """Adds, per line: `line_no` in its file, `entry_line` (line of the header that opens its
-    entry, null before the first header) and `ordinal` (how many counted lines of the entry
+    entry, null before the first header), `head` (that header's text) and `ordinal` (how many counted lines of the entry
     come before it)."""
     in_block = Window.partitionBy("path", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     flagged = lines.withColumns({"counted": is_counted, "header": is_header})
@@ -28,7 +28,7 @@ def number_lines(lines: DataFrame, is_header: Column, is_counted: Column) -> Dat
     ).withColumn(
         # Row and count of the last header so far, relative to the block.
         "opened",
-        F.last(F.when(F.col("header"), F.struct("row", "seen")), ignorenulls=True).over(in_block),
+        F.last(F.when(F.col("header"), F.struct("row", "seen", F.col("value").alias("head"))), ignorenulls=True).over(in_block),
     )
 
     blocks = local.groupBy("path", "block").agg(
@@ -47,6 +47,7 @@ def number_lines(lines: DataFrame, is_header: Column, is_counted: Column) -> Dat
     carried = F.struct(
         (F.col("lines_before") + F.col("last_opened.row")).alias("line"),
         (F.col("counted_before") + F.col("last_opened.seen")).alias("seen"),
+        F.col("last_opened.head").alias("head"),
     )
     blocks = blocks.select(
         "path",
@@ -67,30 +68,43 @@ def number_lines(lines: DataFrame, is_header: Column, is_counted: Column) -> Dat
         "header",
         (F.col("lines_before") + F.col("row")).alias("line_no"),
         entry_line.alias("entry_line"),
+        F.when(here, F.col("opened.head")).otherwise(F.col("carry.head")).alias("head"),
         (F.col("counted_before") + F.col("seen") - entry_seen).alias("ordinal"),
     )
 
 
+#: An entry of more lines becomes several records of so many lines; each further one begins with the header again.
+PART_LINES = 10_000
+
+
 def _joined(keep: Column, text: Column) -> Column:
     """Kept lines of a group in line order, as one text."""
     rows = F.array_sort(F.collect_list(F.when(keep, F.struct(F.col("line_no"), text.alias("text")))))
     return F.array_join(F.transform(rows, lambda row: row["text"]), "\n")
 
 
-def stitch_tomcat(lines: DataFrame, header: str = TOMCAT_HEADER, max_lines: int = 500) -> DataFrame:
-    """Records `(path, start_line, end_line, origin, line)`. An entry keeps its first
-    `max_lines` lines that are not blank; it ends at the line before the next header, or at
-    the end of the file. Each line before the first header is a record of its own."""
+def stitch_tomcat(
+    lines: DataFrame, header: str = TOMCAT_HEADER, max_lines: int | None = None, part_lines: int = PART_LINES
+) -> DataFrame:
+    """Records `(path, start_line, end_line, origin, line)`. An entry keeps its lines that are not blank, with
+    `max_lines` only the first of them; it ends at the line before the next header, or at
+    the end of the file. Each line before the first header is a record of its own. An entry of more than `part_lines` lines
+    becomes several records, each with its own lines and the header, so that no text grows without bound."""
     not_blank = F.regexp_like(F.col("value"), F.lit(r"(?U)\S"))
     numbered = number_lines(lines, F.regexp_like(F.col("value"), F.lit(header)), not_blank)
 
     # A line before the first header is its own group.
-    start = F.coalesce("entry_line", "line_no")
-    keep = F.col("counted") & (F.col("entry_line").isNull() | (F.col("ordinal") < max_lines))
-    entries = numbered.groupBy("path", start.alias("start_line")).agg(
+    opening = F.coalesce("entry_line", "line_no")
+    keep = F.col("counted")
+    if max_lines is not None:
+        keep = keep & (F.col("entry_line").isNull() | (F.col("ordinal") < max_lines))
+    part = F.when(F.col("entry_line").isNotNull(), F.floor((F.col("line_no") - F.col("entry_line")) / part_lines)).otherwise(0)
+    entries = numbered.groupBy("path", opening.alias("opening"), part.alias("part")).agg(
+        F.min("line_no").alias("start_line"),
         F.max("line_no").alias("end_line"),
         F.max("entry_line").alias("entry_line"),
         F.max(keep).alias("has_text"),
+        F.max("head").alias("head"),
         _joined(keep, F.col("value")).alias("line"),
     )
     span = F.when(F.col("entry_line").isNotNull(), F.concat(F.lit("-"), F.col("end_line").cast("string")))
@@ -101,19 +115,21 @@ def stitch_tomcat(lines: DataFrame, header: str = TOMCAT_HEADER, max_lines: int
         F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.coalesce(span, F.lit(""))).alias(
             "origin"
         ),
-        "line",
+        F.when(F.col("part") > 0, F.concat_ws("\n", "head", "line")).otherwise(F.col("line")).alias("line"),
     )
 
 
-def stitch_postgres(lines: DataFrame, name: Column) -> DataFrame:
+def stitch_postgres(lines: DataFrame, name: Column, part_lines: int = PART_LINES) -> DataFrame:
     """Raw records of a database server log. Continuation lines are kept whole, blank ones
-    too; lines before the first header are dropped."""
+    too; lines before the first header are dropped. An entry of more than `part_lines` lines becomes several records with the
+    same header, so that no text grows without bound; the record key of a further one ends in its number."""
     value = F.col("value")
     is_header = F.regexp_like(value, F.lit(POSTGRES_HEADER))
     numbered = number_lines(lines, is_header, F.lit(True)).where("entry_line is not null")
     text = F.when(F.col("header"), F.regexp_extract(value, POSTGRES_HEADER, 5)).otherwise(value)
-    entries = numbered.groupBy("path", "entry_line").agg(
-        F.max(F.when(F.col("header"), value)).alias("first"),
+    number = F.floor((F.col("line_no") - F.col("entry_line")) / part_lines)
+    entries = numbered.groupBy("path", "entry_line", number.alias("number")).agg(
+        F.max("head").alias("first"),
         _joined(F.lit(True), text).alias("message"),
     )
     part = lambda n: F.regexp_extract("first", POSTGRES_HEADER, n)
@@ -123,5 +139,5 @@ def stitch_postgres(lines: DataFrame, name: Column) -> DataFrame:
         part(4).alias("level"),
         part(3).alias("pid"),
         "message",
-        F.concat_ws(":", "path", "entry_line").alias("record_key"),
+        F.concat_ws(":", "path", "entry_line", F.when(F.col("number") > 0, F.col("number"))).alias("record_key"),
     )

@@ -28,21 +28,26 @@ def parse_database_entries(entries: Sequence[str]) -> list[tuple[str, str]]:
     return pairs
 
 
-def union_sources(readers: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
-    """Union of normalized event frames. A reader that fails while its frame is set up is
-    reported and left out, the others go on; it is an error if none is enabled."""
+def union_with_failures(readers: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """Union of normalized event frames, and the reason for each reader that failed while its frame was set up. The
+    others go on; it is an error if none is enabled or all fail."""
     if not readers:
         raise ValueError("no source is enabled")
-    frames, failures = [], []
+    frames, failures = [], {}
     for name, reader in readers.items():
         try:
             frames.append(reader())
         except (PySparkException, Py4JError, OSError) as error:
             log.warning("source %s failed: %s", name, error)
-            failures.append(name)
+            failures[name] = str(error)
     if not frames:
         raise RuntimeError(f"all sources failed: {', '.join(failures)}")
     events = frames[0]
     for frame in frames[1:]:
         events = events.unionByName(frame, allowMissingColumns=True)
-    return events
+    return events, failures
+
+
+def union_sources(readers: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The events of `union_with_failures`; what failed is only in the log."""
+    return union_with_failures(readers)[0]

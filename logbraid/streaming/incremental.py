@@ -1,7 +1,7 @@
 """Structured Streaming: ingest without reading a source again, and identifier pairs on the fly.
 
 Both are extensions: the batch operators define the results. `ingest_events` gives the
-batch result on the same files. `stream_id_pairs` gives the batch pairs per key, except for rows later than the
+batch result on the same files, however late a row comes. `stream_id_pairs` gives the batch pairs per key, except for rows later than the
 watermark; which key names a pair depends on the whole input, so keys stay separate rows.
 """
 from __future__ import annotations
@@ -10,19 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logbraid.config import CorrelationConfig
+from logbraid.operators import store
 
 
-def ingest_events(events: DataFrame, path: str, state_dir: str, late: str = "10 minutes"):
+def ingest_events(events: DataFrame, path: str, state_dir: str):
     """Appends a stream of normalized events to a Parquet table, each event id once. Processes
-    what is there and stops; the next call goes on from `state_dir`."""
-    fresh = events.where("ts is not null").withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    what is there and stops; the next call goes on from `state_dir`. Each batch is compared with the stored
+    events of its days, so no row is too late, and a batch that is run again adds nothing."""
     return (
-        fresh.withColumn("event_date", F.to_date("ts"))
-        .writeStream.format("parquet")
-        .option("path", path)
+        events.where("ts is not null")
+        .writeStream.foreachBatch(lambda batch, _: store.save_events(batch, path))
         .option("checkpointLocation", state_dir)
-        .partitionBy("event_date")
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

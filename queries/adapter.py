@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logbraid.functions.text import flatten_payload
 from logbraid.operators import normalize
-from logbraid.session import cut, ensure_utc
+from logbraid.session import ensure_utc, new_folder
 from logbraid.sources.union import union_sources
 
 def row_no() -> Column:
@@ -143,8 +143,10 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a correlation run finds them: parsed once and written out."""
-    return cut(log_events(spark, sf_dir))
+    """The events as a correlation run finds them: parsed once and written out, so that each reader scans the columns it needs."""
+    folder = new_folder(spark)
+    log_events(spark, sf_dir).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +237,8 @@ grp AS (
   QUALIFY row_number() OVER (PARTITION BY id_key, id_value ORDER BY us, event_id) = 1),
 pairs AS (
   SELECT a.event_id AS source_event_id, b.event_id AS target_event_id, a.id_key, a.id_value, a.key_order, a.us
-  FROM idx a JOIN idx b ON a.id_key = b.id_key AND a.id_value = b.id_value
+  FROM (SELECT *, us // 300000000 + unnest([0, 1]) AS tile FROM idx) a
+  JOIN (SELECT *, us // 300000000 AS tile FROM idx) b ON a.id_key = b.id_key AND a.id_value = b.id_value AND a.tile = b.tile
     AND b.us BETWEEN a.us AND a.us + 300000000 AND (b.us > a.us OR b.event_id > a.event_id))"""
 
 _EDGES = f"""id_edges AS (

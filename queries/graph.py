@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logbraid.operators import components, incidents, shape, store
+from logbraid.operators import components, identifier_links, incidents, shape, store
 from logbraid.plans.correlate import all_edges
 from logbraid.session import cut
 from queries.adapter import last_hex, sql, sql_last_hex, stored_events
-from queries.correlating import id_edges_of, members_of, semantic_of
+from queries.correlating import id_edges_of, index_and_tiles, members_of, semantic_of
 from queries.registry import query
 
 
@@ -17,7 +17,8 @@ def located(events):
 
 
 def every_edge(events):
-    return all_edges(id_edges_of(events), semantic_of(events).select(*id_edges_of(events).columns))
+    certain = id_edges_of(events)
+    return all_edges(certain, semantic_of(events).select(*certain.columns))
 
 
 # --- sinks ------------------------------------------------------------------------------
@@ -121,13 +122,13 @@ def _incident_members(spark, sf_dir):
 
 @query(
     "top_incidents",
-    sql(f"SELECT * FROM ({_INCIDENTS}) WHERE sources_involved LIKE '%,%' ORDER BY event_count DESC, incident_id LIMIT 100", "components"),
+    sql(f"SELECT * FROM ({_INCIDENTS}) WHERE sources_involved LIKE '%,%' ORDER BY event_count DESC, incident_id", "components"),
 )
 def _top_incidents(spark, sf_dir):
-    """The largest incidents that span several systems."""
+    """The incidents that span several systems, the largest first."""
     events = stored_events(spark, sf_dir)
     found = incidents.incidents(events, located(events)).where(F.size("sources_involved") > 1)
-    return flat_incidents(incidents.ranked_incidents(found, 100))
+    return flat_incidents(incidents.ranked_incidents(found))
 
 
 _BIGGEST = "big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)"
@@ -149,7 +150,11 @@ def _incident_subgraph(spark, sf_dir):
     events = stored_events(spark, sf_dir)
     comps = cut(located(events))
     largest = incidents.ranked_incidents(incidents.incidents(events, comps), 1).first()["incident_id"]
-    nodes, edges = incidents.incident_subgraph(events, id_edges_of(events), comps, largest)
+    # Only pairs inside the incident are made.
+    index, tiles = index_and_tiles(events)
+    inside = comps.where(F.col("component") == largest).select("event_id")
+    own = identifier_links.id_match_edges(identifier_links.id_match_pairs(index.join(inside, "event_id", "left_semi"), tiles))
+    nodes, edges = incidents.incident_subgraph(events, own, comps, largest)
     shown = nodes.select(F.lit("node").alias("kind"), F.col("event_id").alias("a"), F.lit("").alias("b"))
     return shown.union(edges.select(F.lit("edge"), "source_event_id", "target_event_id"))
 

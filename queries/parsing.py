@@ -226,7 +226,7 @@ def _flatten_payload(spark, sf_dir):
     r"""SELECT conv_id || '-' || turn || ' | ' || role || ' | 2024-01-01T00:'
           || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || ':00' || CASE WHEN turn % 2 = 1 THEN '.000250' ELSE '' END || '+00:00 | '
           || CASE WHEN turn % 3 = 0 THEN '-' ELSE 'INFO' END || ' | '
-          || left(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ' '), 300) AS line
+          || replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ' ') AS line
         FROM conversations""",
 )
 def _format_events(spark, sf_dir):
@@ -314,13 +314,10 @@ def _cap_global(spark, sf_dir):
         headed AS (
           SELECT *, max(CASE WHEN regexp_matches(value, '^[A-Z]') THEN line_no END)
               OVER (PARTITION BY doc_id ORDER BY line_no) AS entry_line, regexp_matches(value, '\S') AS counted
-          FROM lines),
-        numbered AS (
-          SELECT *, CASE WHEN entry_line IS NULL THEN 1 ELSE sum(CASE WHEN counted THEN 1 ELSE 0 END)
-              OVER (PARTITION BY doc_id, coalesce(entry_line, -line_no) ORDER BY line_no) END AS nth FROM headed)
+          FROM lines)
         SELECT doc_id || ':' || coalesce(entry_line, line_no) || CASE WHEN entry_line IS NULL THEN '' ELSE '-' || max(line_no) END AS origin,
-          string_agg(CASE WHEN counted AND nth <= 3 THEN value END, chr(10) ORDER BY line_no) AS line
-        FROM numbered GROUP BY doc_id, entry_line, coalesce(entry_line, line_no)
+          string_agg(CASE WHEN counted THEN value END, chr(10) ORDER BY line_no) AS line
+        FROM headed GROUP BY doc_id, entry_line, coalesce(entry_line, line_no)
         HAVING bool_or(counted)""",
 )
 def _stitch_entries(spark, sf_dir):
@@ -330,7 +327,7 @@ def _stitch_entries(spark, sf_dir):
         F.col("doc_id").cast("string").alias("path"), F.posexplode(whole).alias("pos", "value")
     )
     lines = lines.withColumn("block", F.floor(F.col("pos") / 4))
-    return stitch_tomcat(lines, header="^[A-Z]", max_lines=3).select("origin", "line")
+    return stitch_tomcat(lines, header="^[A-Z]").select("origin", "line")
 
 
 # --- normalization ----------------------------------------------------------------------

@@ -321,3 +321,19 @@ def _zero_edge_gate(spark, sf_dir):
     pairs = identifier_links.id_match_pairs(index, identifier_links.identifier_tiles(index))
     gate = evaluate.zero_edge_gate(events, identifier_links.id_match_edges(pairs), 50)
     return gate.withColumn("passed", F.col("passed").cast("int"))
+
+
+@query(
+    "zero_edge_gate_on_linked_events",
+    sql(
+        """SELECT CASE WHEN e = 0 THEN 1 ELSE 0 END AS passed, e AS deterministic_edges, n AS event_count,
+             CASE WHEN e > 0 THEN 'deterministic_edges_on_noise' END AS reason
+           FROM (SELECT (SELECT count(*) FROM id_edges) AS e, (SELECT count(*) FROM ev) AS n)""",
+        "edges",
+    ),
+)
+def _zero_edge_gate_on_linked_events(spark, sf_dir):
+    """A run with identifiers is no noise: the gate counts its edges and fails."""
+    events = stored_events(spark, sf_dir)
+    gate = evaluate.zero_edge_gate(events, id_edges_of(events), 50)
+    return gate.withColumn("passed", F.col("passed").cast("int"))

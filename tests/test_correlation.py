@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import models
 import pandas as pd
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from logbraid.config import CorrelationConfig
 from logbraid.operators import buckets, components, links
 from logbraid.operators import identifier_links as il
-from logbraid.plans import run_correlation
+from logbraid import sources
+from logbraid.plans import run_batch, run_correlation
 from logbraid.session import cut
 
 CFG = CorrelationConfig()
@@ -213,3 +215,56 @@ def test_run(spark, events):
     assert rows(off.stats) == [(6, 1, 4, 0, 1)] and off.diagnostics.count() == 0
     nothing = run_correlation(frame.limit(0))
     assert rows(nothing.stats) == [(0, 0, 0, 0, 0)] and nothing.incidents.count() == 0
+
+
+def test_hot_value_is_split(spark, events):
+    """A value with two thirds of the rows, without adaptive execution: no task of the join holds more than its share."""
+    data = [(f"e{i:05d}", i * 0.01, {"user_id": "hot" if i % 3 else f"u{i}"}) for i in range(6000)]
+    cfg = CorrelationConfig(rows_per_cell=500)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        index = il.identifier_index(events(data).repartition(8), cfg)
+        tiles = il.identifier_tiles(index, cfg)
+        members = il.session_members(index, tiles, cfg)
+        sizes = [n for n in members.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+        assert sum(sizes) == 4000 and max(sizes) < 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_batch_of_several_logs_of_one_system(spark, tmp_path):
+    """Two database logs, one source that fails, and a second run that adds nothing."""
+    for name, second in (("a", 1), ("b", 2)):
+        (tmp_path / f"{name}.log").write_text(f"2026-08-04 12:00:0{second}.000 UTC [7] ERROR:  request_id=abcdefgh1 {name}\n")
+    seen = []
+
+    def read(name):
+        def reader(start=None, end=None):
+            seen.append((start, end))
+            return sources.read_postgres_log(spark, str(tmp_path / f"{name}.log"), name)
+
+        return reader
+
+    readers = [("postgres", "a", read("a")), ("postgres", "b", read("b")), ("tomcat", "gone", lambda: spark.read.parquet("/no/such"))]
+    window = (datetime(2026, 8, 4), datetime(2026, 8, 5))
+    for _ in range(2):
+        result = run_batch(spark, readers, str(tmp_path / "events"), str(tmp_path / "edges"), *window)
+        assert spark.read.parquet(str(tmp_path / "events")).count() == 2
+        assert spark.read.parquet(str(tmp_path / "edges")).count() == 1
+    assert set(seen) == {window} and [r.source for r in result.failed_sources.collect()] == ["gone"]
+    with pytest.raises(ValueError):
+        run_batch(spark, readers[:1] * 2, str(tmp_path / "x"), str(tmp_path / "y"))
+
+
+@pytest.mark.parametrize("cell", [3, 20_000])
+def test_pairs_of_chosen_events(spark, events, cell):
+    rng = random.Random(cell)
+    data = [(f"e{i:03d}", rng.randrange(2000), {"user_id": rng.choice(["u1", "u2"])}) for i in range(80)]
+    cfg = CorrelationConfig(rows_per_cell=cell)
+    index = il.identifier_index(events(data), cfg)
+    tiles = il.identifier_tiles(index, cfg)
+    chosen = {"e003", "e040", "e077"}
+    touching = spark.createDataFrame([(e,) for e in chosen], "event_id string")
+    columns = ["source_event_id", "target_event_id", "id_key"]
+    every = [p for p in rows(il.id_match_pairs(index, tiles, cfg), *columns) if chosen & set(p)]
+    assert every and rows(il.id_match_pairs(index, tiles, cfg, touching), *columns) == every

@@ -61,6 +61,12 @@ def test_level_folding(spark):
         ("", NOW.replace(tzinfo=None)),
         (None, NOW.replace(tzinfo=None)),
         ("yesterday", None),
+        ("12:00", None),
+        ("2026/08/04 12:00:00", datetime(2026, 8, 4, 12)),
+        ("Aug 4 2026 12:00:00", datetime(2026, 8, 4, 12)),
+        ("2026-08-04 12:00:00,123", datetime(2026, 8, 4, 12, 0, 0, 123000)),
+        ("20260804T120000Z", datetime(2026, 8, 4, 12)),
+        ("04-AUG-26 12.00.00.123456 PM", datetime(2026, 8, 4, 12, 0, 0, 123456)),
     ],
 )
 def test_parse_ts_or_now(spark, text, want):
@@ -97,7 +103,7 @@ def test_texts(spark):
         spark, us, lambda c: fn.event_line(F.lit("e1"), F.lit("tomcat"), F.timestamp_micros(c), F.lit(level), F.lit(msg)), "bigint"
     )
     assert line("INFO", "  a\nb  ", 0) == "e1 | tomcat | 1970-01-01T00:00:00+00:00 | INFO | a b"
-    assert line(None, "x" * 400, 250) == "e1 | tomcat | 1970-01-01T00:00:00.000250+00:00 | - | " + "x" * 300
+    assert line(None, "x" * 400, 250) == "e1 | tomcat | 1970-01-01T00:00:00.000250+00:00 | - | " + "x" * 400
     text = lambda root, step: one(spark, root, lambda c: fn.rationale(F.lit(" s "), c, F.lit(step)))
     assert text("mysql", " do it ") == "s\n\nROOT CAUSE  mysql\nNEXT STEP   do it"
     assert text(None, "   ") == "s"

@@ -5,7 +5,7 @@ import pytest
 SF_DIR = "/root/testdata/sf0.001"
 NAMES = (
     "union_sources extract_identifiers flatten_payload stitch_entries cap_per_group id_match_edges linked_events time_buckets "
-    "chunks lexical_links all_edges components top_incidents shape_nodes resolve_anchors pair_verdicts_relaxed case_status"
+    "chunks lexical_links all_edges components top_incidents incident_subgraph correlation_components batch_run stream_ingest id_match_pairs format_events shape_nodes resolve_anchors pair_verdicts_relaxed case_status"
 ).split()
 
 

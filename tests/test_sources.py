@@ -46,7 +46,36 @@ def test_blank_lines_headless_lines_and_cap(spark, tmp_path):
     got = tomcat(spark, path)
     assert [origin for origin, _ in got] == [f"{path}:1", f"{path}:3-{len(body) + 1}"]
     kept = got[1][1].split("\n")
-    assert len(kept) == 500 and kept[:3] == ["2026-08-04 12:00:00 first", "\tframe", "\tf0"]
+    assert len(kept) == 603 and kept[:3] == ["2026-08-04 12:00:00 first", "\tframe", "\tf0"]
+    capped = sources.read_tomcat(spark, str(path), CorrelationConfig(max_lines_per_entry=500))
+    assert max(r.line.count("\n") for r in capped.collect()) == 499
+
+
+def test_long_entries_become_parts(spark, tmp_path):
+    path = tmp_path / "c.log"
+    head = "2026-08-04 12:00:00.500 UTC [777] ERROR:  head"
+    path.write_text("\n".join([head, *(f"l{i}" for i in range(7)), head.replace("head", "next")]) + "\n")
+    lines = sources.read_log_lines(spark, str(path))
+    parts = sources.stitch_postgres(lines, F.lit("app"), part_lines=3).orderBy("record_key").collect()
+    key = [r.record_key.removeprefix(str(path)) for r in parts]
+    assert key == [":1", ":1:1", ":1:2", ":9"] and {r.level for r in parts} == {"ERROR"}
+    assert [r.message for r in parts] == [" head\nl0\nl1", "l2\nl3\nl4", "l5\nl6", " next"]
+    entries = sources.stitch_tomcat(lines, part_lines=3).orderBy("start_line").collect()
+    assert [r.origin.removeprefix(str(path)) for r in entries] == [":1-3", ":4-6", ":7-8", ":9-9"]
+    assert entries[1].line == f"{head}\nl2\nl3\nl4"
+
+
+def test_half_a_gzip_file_is_an_error(spark, tmp_path):
+    whole = gzip.compress("".join(f"2026-08-04 12:00:00 line {i}\n" for i in range(5000)).encode())
+    (tmp_path / "half.log.gz").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(Exception, match="half.log.gz"):
+        sources.read_tomcat(spark, str(tmp_path / "half.log.gz")).collect()
+
+
+def test_all_is_read_without_caps(spark, tmp_path):
+    path = tmp_path / "e.json"
+    path.write_text("".join(json.dumps({"logGroupName": "/a", "logStreamName": "s", "timestamp": i, "message": "m", "eventId": str(i)}) + "\n" for i in range(10_050)))
+    assert sources.read_cloudwatch(spark, str(path)).count() == 10_050
 
 
 def test_bad_bytes_are_replaced(spark, tmp_path):
@@ -173,6 +202,8 @@ def test_active_sources(spark):
         return spark.read.parquet("/no/such/path")
 
     assert sources.union_sources({"a": lambda: frame, "b": broken}).count() == 1
+    events, failures = sources.union_with_failures({"a": lambda: frame, "b": broken})
+    assert events.count() == 1 and list(failures) == ["b"] and "/no/such/path" in failures["b"]
     with pytest.raises(ValueError):
         sources.union_sources({})
     assert sources.parse_database_entries(["oracle:app", "nonsense", ":x"]) == [("oracle", "app")]

@@ -40,6 +40,15 @@ def test_ingest_equals_batch(spark, tmp_path):
     assert batch.count() == 3
 
 
+def test_late_rows_are_stored(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = lambda: shaped(spark.readStream.schema(schemas.CLOUDWATCH_EXPORT).json(str(tmp_path / "in")))
+    for name, offset in (("1", 0), ("2", -7200), ("3", -400_000)):
+        export(tmp_path / "in" / f"{name}.json", [(name, offset, "x")])
+        ingest_events(stream(), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
 def test_pairs_equal_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     export(tmp_path / "in" / "1.json", [(str(i), i * 100, f"user_id=u{i % 2}aa") for i in range(8)])
