@@ -15,11 +15,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MAX_IDS = 2_000_000
 
 
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """Documents that are not in `bad` (bad_id, bad_text = xxhash64(text))."""
+    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_text"])
+    return docs.join(broadcast_within(bad, MAX_IDS), same, "left_anti").select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    from logbraid.llm.quality_rules import quality_rules
+    from logbraid.llm.quality_rules import rejected
 
-    return quality_rules(docs, keep=COLUMNS[1:]).where("kept").select(*COLUMNS)
+    return _without(docs, rejected(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents of which a twentieth of the words or more lies in 13-word windows of the benchmark go."""
     from logbraid.llm.decontamination import contaminated
 
-    bad = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(broadcast_within(bad, MAX_IDS), docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_text"]), "left_anti").select(*COLUMNS)
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

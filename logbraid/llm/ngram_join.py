@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logbraid.llm.arrow_text import by_part, column_bytes, mix, pack, runs_of, slices, unpack
+from logbraid.llm.arrow_text import by_part, column_bytes, mix, pack, runs_of, slices, tidy_group, tidy_map, unpack
 from logbraid.llm.shingles import shingle_sets
 from logbraid.operators.components import star_roots
 from logbraid.session import broadcast_within, cut, new_folder
@@ -30,7 +30,7 @@ from logbraid.session import broadcast_within, cut, new_folder
 _U = np.uint64
 #: An element is its 64-bit hash; frequencies go by its high 40 bits.
 SHIFT = _U(24)
-FLUSH = 2_000_000
+FLUSH, FLUSH_RARE = 1_000_000, 400_000
 BUCKETS_PER_PARTITION = 4
 #: Elements in so many documents count as frequent, or in more if the list would exceed MAX_FREQUENT.
 FREQUENT = 32
@@ -96,8 +96,8 @@ def _sum_counts(buckets: int):
 
 def _frequent(docs: DataFrame, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The frequent elements and their frequencies, at most MAX_FREQUENT."""
-    counted = docs.select("text").mapInArrow(_map_counts(k, buckets), "part long, blob binary")
-    frequent = cut(counted.groupBy("part").applyInArrow(_sum_counts(buckets), "token long, df long"))
+    counted = docs.select("text").mapInArrow(tidy_map(_map_counts(k, buckets)), "part long, blob binary")
+    frequent = cut(counted.groupBy("part").applyInArrow(tidy_group(_sum_counts(buckets)), "token long, df long"))
     magnitude = F.floor(F.log2(F.col("df"))).cast("long")
     sizes = {r["m"]: r["n"] for r in frequent.groupBy(magnitude.alias("m")).agg(F.count("*").alias("n")).collect()}
     least, total = 63, 0
@@ -187,7 +187,7 @@ def _map_rare(buckets: int):
             if (got := _elements(batch, "rare")) is not None:
                 held.append(got)
                 size += len(got[0])
-            if size >= FLUSH:
+            if size >= FLUSH_RARE:
                 yield from send(held)
                 held, size = [], 0
         if size:
@@ -265,7 +265,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     texts = docs.join(broadcast_within(ids.withColumnRenamed("a", "doc_id"), MAX_IDS), "doc_id", "left_semi")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        _verify(k, percent), "a long, b long"
+        tidy_map(_verify(k, percent)), "a long, b long"
     )
 
 
@@ -292,7 +292,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     folder = new_folder(spark)
     frequent = spark.sparkContext.broadcast(_frequent(docs, k, buckets))
-    docs.mapInArrow(_map_prefixes(k, percent, frequent), SETS).write.parquet(folder)
+    docs.mapInArrow(tidy_map(_map_prefixes(k, percent, frequent)), SETS).write.parquet(folder)
     every = spark.read.schema(SETS).parquet(folder)
     sets = every.where("n > 0 and doc_id is not null")
     classes = cut(
@@ -310,9 +310,9 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     prefixes = groups.select("gid", "n", "rare", "frequent")
     rare_pairs = cut(
         prefixes.select("gid", "n", "rare")
-        .mapInArrow(_map_rare(buckets), "part long, blob binary")
+        .mapInArrow(tidy_map(_map_rare(buckets)), "part long, blob binary")
         .groupBy("part")
-        .applyInArrow(_pair_rare(percent), "a long, b long")
+        .applyInArrow(tidy_group(_pair_rare(percent)), "a long, b long")
         .distinct()
     )
     meets = cut(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logbraid.llm.native_words import paired, split_words, with_grams, with_hashes
-from logbraid.session import broadcast_within, new_folder
+from logbraid.session import broadcast_within, cut, new_folder
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -87,7 +87,7 @@ def quality_rules(
     word_limit: tuple[float, float] = WORD_LIMIT,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, the columns in `keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, character_distance, word_distance, base_failed, kept)
+    """(doc_id, the columns in `keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, character_distance, word_distance, base_failed, kept, text_key = xxhash64(text))
     for each row of docs(doc_id, text, lang).
 
     base_failed: fewer than 20 words, or more than 30 % of the words in windows of eight words that the text has twice or more.
@@ -101,8 +101,9 @@ def quality_rules(
     row = docs.select(
         F.col("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("lang", F.lit("")).alias("language"),
         *(F.col(c).alias(f"kept_{c}") for c in keep),
+        F.xxhash64("text").alias("text_key"),
     )
-    names = ["doc_id", "language", *(f"kept_{c}" for c in keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "characters", "common"]
+    names = ["doc_id", "text_key", "language", *(f"kept_{c}" for c in keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "characters", "common"]
     _counts(row).select(*names).write.parquet(folder)
     counted = spark.read.parquet(folder)
     bins = lambda c, n: F.array(*(F.sum(F.element_at(c, i + 1)) for i in range(n)))
@@ -120,5 +121,11 @@ def quality_rules(
     near = (F.col("character_distance") <= limit(character_limit)) & (F.col("word_distance") <= limit(word_limit))
     return judged.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") < min_words) | near)).select(
         "doc_id", *(F.col(f"kept_{c}").alias(c) for c in keep), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        "n_repeat_words", "character_distance", "word_distance", "base_failed", "kept",
+        "n_repeat_words", "character_distance", "word_distance", "base_failed", "kept", "text_key",
     )
+
+
+def rejected(docs: DataFrame) -> DataFrame:
+    """(bad_id, bad_text = xxhash64(text)) of the documents that are not kept, each once."""
+    bad = quality_rules(docs).where("not kept")
+    return cut(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_text")).distinct())

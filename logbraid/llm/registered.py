@@ -164,7 +164,7 @@ FROM judged j JOIN distances c ON c.doc_id = j.doc_id AND c.kind = 'c' JOIN dist
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logbraid.llm.quality_rules import quality_rules
 
-    return quality_rules(read(spark, sf_dir, "documents")).drop("character_distance", "word_distance")
+    return quality_rules(read(spark, sf_dir, "documents")).drop("character_distance", "word_distance", "text_key")
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

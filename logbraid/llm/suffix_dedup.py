@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from logbraid.session import cut
 from logbraid.llm.arrow_text import (
-    POWERS, by_part, column_bytes, expand, mix, pack, prefix_hash, range_hash, runs_of, slices, unpack, unpack_all,
+    POWERS, by_part, column_bytes, expand, mix, pack, prefix_hash, range_hash, runs_of, slices, tidy_group, tidy_map, unpack, unpack_all,
 )
 
 K = 20
 POSITION_BITS = 22
-CHUNK = 1 << 19
-FLUSH = 1_000_000
+CHUNK = 1 << 18
+FLUSH = 400_000
 #: A place with more contents than this in one task, or than MANY in all, is hot: its suffixes are dealt one by one.
 CONTENTS, MANY = 8, 1_000
 #: What is known of a run: an earlier document has all of it; its suffixes must be compared with the other runs of its place; or,
@@ -365,20 +365,20 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep: Sequence[str] = (
         F.col("text").cast("binary").alias("text"),
         *(F.col(c).alias(f"kept_{c}") for c in keep),
     )
-    runs = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(_map_runs(min_bytes, parts), BLOB)
-    cover = runs.groupBy("part").applyInArrow(_rank_cover(parts), BLOB)
+    runs = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(tidy_map(_map_runs(min_bytes, parts)), BLOB)
+    cover = runs.groupBy("part").applyInArrow(tidy_group(_rank_cover(parts)), BLOB)
     # Read twice below, and small beside the texts.
     found = cut(cover.groupBy("part").applyInArrow(_per_document, "found_id long, spans binary"))
     # Hash joins, so texts are not sorted. Both uses of `marked` take the same columns and rows of it, so that
     # the texts are shuffled once and their exchange is used again.
     marked = texts.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("found_id"), "left").drop("found_id")
-    suffixes = marked.mapInArrow(_map_suffixes(min_bytes, parts), BLOB)
-    ties = suffixes.groupBy("part").applyInArrow(_sort_bucket(min_bytes, parts), BLOB)
+    suffixes = marked.mapInArrow(tidy_map(_map_suffixes(min_bytes, parts)), BLOB)
+    ties = suffixes.groupBy("part").applyInArrow(tidy_group(_sort_bucket(min_bytes, parts)), BLOB)
     more = ties.groupBy("part").applyInArrow(_per_document, "found_id long, spans binary").withColumnRenamed("spans", "more")
     both = marked.join(more.hint("shuffle_hash"), F.col("doc_id") == F.col("found_id"), "left").drop("found_id")
     fields = "".join(f", kept_{c} {dict(docs.dtypes)[c]}" for c in keep)
     out = both.mapInArrow(
-        _cut(min_bytes, tuple(keep), as_text),
+        tidy_map(_cut(min_bytes, tuple(keep), as_text)),
         f"doc_id long{fields}, n_bytes long, n_removed long, removed array<struct<start: bigint, end: bigint>>, kept {'string' if as_text else 'binary'}",
     )
     return out.select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in keep), "n_bytes", "n_removed", "removed", "kept")
