@@ -33,21 +33,26 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids bi
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
-    """The tokenizer, which of its tokens end a word, and the ids of words seen so far."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
+    """The tokenizer, one for plain words, which tokens end a word, and the ids of words seen so far."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    # Words of lower-case letters need no normalization, and white space alone splits them.
+    plain.normalizer = None
+    plain.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
     for token, i in tokenizer.get_vocab().items():
         ends[i] = token.endswith("</w>")
-    return tokenizer, ends, {"": b""}
+    return tokenizer, plain, ends, {"": b""}
 
 
-def _encode_letters(words: list[str], tokenizer, ends: np.ndarray) -> list[bytes]:
+def _encode_letters(words: list[str], plain, ends: np.ndarray) -> list[bytes]:
     """The ids of words of lower-case letters of Latin-1 only. Each is one word of the vocabulary, so its last token is the only one that
     ends a word, and many words can be encoded in one text."""
     texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
-    ids = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    ids = [np.array(e.ids, "<u4") for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
     ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
     raw, stops = ids.tobytes(), ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
     if len(stops) != len(words):
@@ -58,7 +63,7 @@ def _encode_letters(words: list[str], tokenizer, ends: np.ndarray) -> list[bytes
 def _learn(words: set[str], path: str) -> dict[str, bytes]:
     """The cache with the ids of all `words`. This vocabulary drops white space and splits words from punctuation,
     so a text's ids are those of its words, and a word's are those of its letters in lower case and of its tail."""
-    tokenizer, ends, cache = _tokenizer(path)
+    tokenizer, plain, ends, cache = _tokenizer(path)
     if len(cache) > CACHED_WORDS:
         cache.clear()
         cache[""] = b""
@@ -82,7 +87,7 @@ def _learn(words: set[str], path: str) -> dict[str, bytes]:
             others.add(lower)
             built.append((word, lower, ""))
     fresh = [w for w in letters if w not in cache]
-    cache.update(zip(fresh, _encode_letters(fresh, tokenizer, ends), strict=True))
+    cache.update(zip(fresh, _encode_letters(fresh, plain, ends), strict=True))
     fresh = [w for w in others if w not in cache]
     encoded = tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
     cache.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(fresh, encoded, strict=True))
@@ -93,13 +98,16 @@ def _learn(words: set[str], path: str) -> dict[str, bytes]:
 
 def forget(path: str) -> None:
     """Empties the cache, so that an idle worker holds no words."""
-    _tokenizer(path)[2].clear()
-    _tokenizer(path)[2][""] = b""
+    cache = _tokenizer(path)[-1]
+    cache.clear()
+    cache[""] = b""
 
 
 def word_ids(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
-    words = [(text or "").replace("\n", " ").split(" ") for text in texts]
+    # Lower case at once where it changes nothing else: no special token and no letter beyond ASCII.
+    plain = [t.lower() if t.isascii() and "<" not in t else t for t in (text or "" for text in texts)]
+    words = [text.replace("\n", " ").split(" ") for text in plain]
     get = _learn(set().union(*words), path).__getitem__
     return [b"".join(map(get, own)) for own in words]
 
