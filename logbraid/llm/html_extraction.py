@@ -3,13 +3,15 @@
 A page is cut into lines at block tags; markup, scripts and styles go. A line's weight is its text outside links. The sum of
 weights over a sliding window of lines surges where the main text begins and dives to zero where it ends; all lines in
 between stay. What the page itself marks weighs nothing and is never kept: menus, footers, forms, adverts and the
-like. If the page marks an article, lines outside it weigh nothing either, and the text runs from its first line to its last.
+like. Each line of an article that the page marks weighs half a surge more; lines outside weigh what they weigh on any page.
+Neither counts in the other's windows.
 """
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ from logbraid.llm.arrow_text import slices
 
 #: Lines of a window, and the weight of a window where text surges: this much, or a share of the heaviest window if that is less.
 WINDOW, SURGE, SURGE_SHARE = 3, 86, 0.2
+#: What the mark of an article adds to a line, as a share of the surge: two lines surge by it, one short line alone does not.
+ARTICLE_BONUS = 0.5
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)"
@@ -86,7 +90,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         line = " ".join("".join(words).split())
         if line:
-            lines.append(("", 0, False) if other else (line, max(0, len(line) - linked), article > 0))
+            lines.append(("", 0, article > 0) if other else (line, max(0, len(line) - linked), article > 0))
         words.clear()
         linked = 0
 
@@ -121,21 +125,27 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
+def _text_lines(weights: list[float], surge: float) -> list[bool]:
+    """Which lines lie between a surge of the text and its dive."""
+    sums, inside, found = [sum(weights[i : i + WINDOW]) for i in range(len(weights))], False, []
+    for weight, total in zip(weights, sums, strict=True):
+        inside = total > 0 if inside else total >= surge and weight > 0
+        found.append(inside)
+    return found
+
+
 def main_text(page: str | None) -> str:
     lines = page_lines(page or "")
-    marked = any(inside for _, _, inside in lines)
-    weights = [(len(t) if inside else 0) if marked else w for t, w, inside in lines]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    surge = 1 if marked else min(SURGE, SURGE_SHARE * max(sums, default=0))
-    kept, inside = [], False
-    for i, (line, _, in_article) in enumerate(lines):
-        if not inside:
-            inside = sums[i] >= surge and sums[i] > 0 and weights[i] > 0
-        elif sums[i] == 0:
-            inside = marked and any(weights[i:])
-        if inside and line and (in_article or not marked and weights[i] * 2 >= len(line)):
-            kept.append(line)
-    return " ".join(kept)
+    surge = min(SURGE, SURGE_SHARE * max((sum(w for _, w, _ in lines[i : i + WINDOW]) for i in range(len(lines))), default=0))
+    runs = [[i for i, _ in run] for marked, run in groupby(enumerate(lines), key=lambda x: x[1][2]) if marked]
+    keep = set()
+    for run in runs:
+        run = [i for i in run if lines[i][0]]
+        keep.update(i for i, inside in zip(run, _text_lines([lines[i][1] + ARTICLE_BONUS * surge for i in run], surge), strict=True) if inside)
+    rest = [i for i, (_, _, in_article) in enumerate(lines) if not in_article]
+    found = _text_lines([lines[i][1] for i in rest], surge)
+    keep.update(i for i, inside in zip(rest, found, strict=True) if inside and lines[i][1] * 2 >= len(lines[i][0]) > 0)
+    return " ".join(lines[i][0] for i in sorted(keep))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -41,6 +41,21 @@ def test_main_text_of_odd_pages(page, text):
     assert main_text(page) == text
 
 
+def test_main_text_outside_an_article_mark():
+    """A mark adds weight to its lines, but takes none from the rest; what is in between goes on after the mark."""
+    from logbraid.llm.html_extraction import main_text
+
+    body = ["A first long paragraph of the text that goes on for quite a while, as they do, line after line.", "Short.", "And the end."]
+    plain = [f"<div>{b}</div>" for b in body]
+    card = "<article><h3>Read next</h3></article>"
+    for at in range(len(plain) + 1):
+        assert main_text("<body>" + "".join([*plain[:at], card, *plain[at:]]) + "</body>") == " ".join(body)
+    assert main_text(f"<body>{''.join(plain)}<article><h2>Title</h2><p>Text.</p></article></body>") == " ".join([*body, "Title", "Text."])
+    assert main_text(f"<body><div>By us</div><article>{''.join(plain)}</article><div>Imprint</div></body>") == " ".join(body)
+    form = "<form>" + "<p>Mail</p>" * 5 + "</form>"
+    assert main_text(f"<article>{plain[0]}{form}{plain[2]}</article>") == f"{body[0]} {body[2]}"
+
+
 def test_unclosed_quotes_take_linear_time():
     from logbraid.llm.html_extraction import main_text
 
