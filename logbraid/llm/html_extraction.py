@@ -25,12 +25,14 @@ WINDOW, SURGE, SURGE_SHARE = 3, 86, 0.2
 ARTICLE_BONUS = 0.5
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|$)"
-    r"|<(script|style|head|noscript|template|svg|iframe|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"<!--(?:-?>|.*?(?:--!?>|$))"
+    r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|$)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
     r"|<[!?][^>]*>",
     re.I | re.S,
 )
+#: Content that is not text, if it has an end tag of its own.
+_SKIPPED = frozenset("noscript template svg iframe object canvas math title".split())
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -72,6 +74,21 @@ def _roles(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     return other, not other and (bool(_ARTICLE_NAME.search(names)) or found.get("itemprop", "").lower() == "articlebody")
 
 
+def _skips(tags: list[re.Match]) -> dict[int, int]:
+    """Of each start tag of _SKIPPED that has an end tag, the number of that end tag."""
+    opened, ends = {}, {}
+    for i, m in enumerate(tags):
+        tag = (m[3] or "").lower()
+        if tag not in _SKIPPED:
+            continue
+        if m[2]:
+            if opened.get(tag):
+                ends[opened[tag].pop()] = i
+        elif not (tag in ("svg", "math") and m[0].endswith("/>")):
+            opened.setdefault(tag, []).append(i)
+    return ends
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, inside the article) of each line with main text; a line of something else is empty."""
     lines, words, at = [], [], 0
@@ -94,11 +111,25 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         words.clear()
         linked = 0
 
-    for m in _MARKUP.finditer(page):
+    tags = list(_MARKUP.finditer(page))
+    skips, until = _skips(tags), -1
+    for i, m in enumerate(tags):
+        if i <= until:
+            at = m.end()
+            continue
         text(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
-        if not tag:
+        if stack and stack[-1][0] == "title":  # without an end tag: any tag ends it
+            end_line()
+            other -= stack.pop()[1]
+        if i in skips:
+            if tag == "title":
+                end_line()
+            until = skips[i]
+            continue
+        # The head has no text of its own: what is not dropped anyway already belongs to the body.
+        if not tag or tag == "head" or tag in _SKIPPED and tag != "title":
             continue
         if tag == "a":
             links = max(0, links + (-1 if m[2] else 1))

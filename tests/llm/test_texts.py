@@ -56,6 +56,34 @@ def test_main_text_outside_an_article_mark():
     assert main_text(f"<article>{plain[0]}{form}{plain[2]}</article>") == f"{body[0]} {body[2]}"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>x</title><body><article>Text.</article>", "Text."),
+        ("<head class=header><meta charset=utf-8><article>Text.</article>", "Text."),
+        ("<head><title>x<body><article>Text.</article>", "Text."),
+        ("<head><title>a <b> c</title></head><body>Text.", "Text."),
+        ("<article>One <svg viewBox='0 0 1 1'/> two <math/> three <svg><text>no</text></svg>four.</article>", "One two three four."),
+        ("<article>One <svg><svg><text>no</text></svg><text>no</text></svg>two.</article>", "One two."),
+        ("<article>One <canvas>two <canvas>no</canvas> three.</article>", "One two three."),
+        *((f"<article>One.<{tag}><p>Two.</article>", "One. Two.") for tag in ("noscript", "template", "svg", "iframe", "object", "canvas", "math")),
+        ("<article>One.<!--> Two.</article><!-- x -->", "One. Two."),
+        ("<article>One.<script>no</script > Two.<style>never closed", "One. Two."),
+        ("<article>One.<script>var a = '<svg>'</script> Two.<svg>no</svg></article>", "One. Two."),
+    ],
+)
+def test_main_text_without_end_tags(page, text):
+    from logbraid.llm.html_extraction import main_text
+
+    assert main_text(page) == text
+
+
+def test_open_canvases_take_linear_time():
+    from logbraid.llm.html_extraction import main_text
+
+    assert len(main_text("<article>" + "<canvas>word" * 50_000)) == 4 * 50_000
+
+
 def test_unclosed_quotes_take_linear_time():
     from logbraid.llm.html_extraction import main_text
 
