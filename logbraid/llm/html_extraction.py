@@ -31,6 +31,21 @@ _MARKUP = re.compile(
     r"|<[!?][^>]*>",
     re.I | re.S,
 )
+_P, _LI, _DD, _OPTION, _CELL, _ROW, _ROWS = range(7)
+#: Elements whose end tag may be left out, what ends them, and what hides those outside it.
+_OPEN = {"p": _P, "li": _LI, "dt": _DD, "dd": _DD, "option": _OPTION, "td": _CELL, "th": _CELL, "tr": _ROW, "thead": _ROWS, "tbody": _ROWS, "tfoot": _ROWS}
+_ENDS = {
+    **dict.fromkeys(
+        "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav "
+        "ol p pre search section summary table ul".split(), (_P,),
+    ),
+    "li": (_LI, _P), "dt": (_DD, _P), "dd": (_DD, _P), "option": (_OPTION,), "optgroup": (_OPTION,), "td": (_CELL,), "th": (_CELL,),
+    "tr": (_ROW, _CELL), "thead": (_ROWS, _ROW, _CELL), "tbody": (_ROWS, _ROW, _CELL), "tfoot": (_ROWS, _ROW, _CELL),
+}
+_HIDES = {
+    "table": range(7), **dict.fromkeys(("td", "th", "caption"), (_P, _LI, _DD, _OPTION)), **dict.fromkeys(("button", "object", "template"), (_P,)), "select": (_OPTION,),
+    **dict.fromkeys("ul ol menu dl section article aside nav main blockquote figure form fieldset header footer details".split(), (_LI, _DD)),
+}
 #: Content that is not text, if it has an end tag of its own.
 _SKIPPED = frozenset("noscript template svg iframe object canvas math title".split())
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -42,12 +57,17 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OTHER = frozenset("nav footer aside form menu dialog button select textarea option label title".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_OTHER_NAME = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|side-?bar|footer|masthead|breadcrumbs?|cookies?|consent|"
+_OTHER_WORD = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|side-?bar|footer|masthead|breadcrumbs?|cookies?|consent|"
     r"notices?|disclaimer|alert|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|disqus|respond|"
-    r"repl(?:y|ies)|login|signup|search|toolbar|pager|pagination|widgets?|copyright|header)(?:$|[-_\s])",
-    re.I,
+    r"repl(?:y|ies)|login|signup|search|toolbar|pager|pagination|widgets?|copyright|header)"
 )
+_OTHER_NAME = re.compile(rf"(?:^|[-_\s]){_OTHER_WORD}(?:$|[-_\s])", re.I)
+#: Inside an article a class is a name as a whole: words of the list, and words for a piece of a page. Ids there are mostly slugs of headings.
+_PIECE = r"(?:block|box|bar|body|unit|slot|list|item|card|area|form|buttons?|links?|icons?|posts?|articles?|stories)"
+_OTHER_CLASS = re.compile(rf"{_OTHER_WORD}(?:[-_]+(?:{_OTHER_WORD}|{_PIECE}))*", re.I)
+_OTHER_ID = re.compile(r"side-?bar|nav-?bar|masthead|breadcrumbs?|disqus(?:[-_]thread)?", re.I)
+_COMMENT_CLASS = re.compile(rf"(?:comments?|disqus|respond|repl(?:y|ies)|related|teaser)(?:[-_]+(?:comments?|related|{_PIECE}))*", re.I)
 _COMMENTS = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|respond|repl(?:y|ies)|related|teaser)(?:$|[-_\s])", re.I)
 _WRAPPER = re.compile(r"(?:^|[-_\s])(?:content|article|main|post|entry|story|page|wrap(?:per)?|container|layout|with|has)(?:$|[-_\s])", re.I)
 _ARTICLE_NAME = re.compile(r"(?:^|\s)(?:article-?body|post-?body|entry-?content|article-?content|post-?content|story-?body|main-?content)(?:$|\s)", re.I)
@@ -62,15 +82,17 @@ def _roles(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     names = f"{found.get('class', '')} {found.get('id', '')}"
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    classes = found.get("class", "").split()
     if tag in ("html", "body"):
         return False, False
     if tag in ("article", "main") or role in ("main", "article"):
-        other = hidden or bool(_COMMENTS.search(names))
+        other = hidden or (any(_COMMENT_CLASS.fullmatch(c) or c.lower().endswith("teaser") for c in classes) if in_article else bool(_COMMENTS.search(names)))
         return other, not other
     other = hidden or tag in _OTHER or role in _OTHER_ROLES or (tag == "header" and not in_article)
-    if not other and names.strip() and _OTHER_NAME.search(names):
-        header = re.search("header", names, re.I) and in_article
-        other = not header and not _WRAPPER.search(names) or bool(_COMMENTS.search(names))
+    if in_article:
+        other = other or bool(_OTHER_ID.fullmatch(found.get("id", ""))) or any(_OTHER_CLASS.fullmatch(c) and "header" not in c.lower() for c in classes)
+    elif names.strip() and not other and _OTHER_NAME.search(names):
+        other = not _WRAPPER.search(names) or bool(_COMMENTS.search(names))
     return other, not other and (bool(_ARTICLE_NAME.search(names)) or found.get("itemprop", "").lower() == "articlebody")
 
 
@@ -92,7 +114,9 @@ def _skips(tags: list[re.Match]) -> dict[int, int]:
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, inside the article) of each line with main text; a line of something else is empty."""
     lines, words, at = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, list[int]]] = []
+    #: Where in the stack the last open element of each kind of _OPEN is, or -1.
+    opened = [-1] * 7
     other = article = links = 0
     linked = 0
 
@@ -111,6 +135,13 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         words.clear()
         linked = 0
 
+    def pop() -> str:
+        nonlocal other, article, opened
+        name, was_other, was_article, opened = stack.pop()
+        other -= was_other
+        article -= was_article
+        return name
+
     tags = list(_MARKUP.finditer(page))
     skips, until = _skips(tags), -1
     for i, m in enumerate(tags):
@@ -122,7 +153,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         tag = (m[3] or "").lower()
         if stack and stack[-1][0] == "title":  # without an end tag: any tag ends it
             end_line()
-            other -= stack.pop()[1]
+            pop()
         if i in skips:
             if tag == "title":
                 end_line()
@@ -138,17 +169,23 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if m[2]:
             if any(s[0] == tag for s in stack):
                 end_line() if tag not in _BLOCKS and any(s[1] for s in stack) else None
-                while True:
-                    name, was_other, was_article = stack.pop()
-                    other -= was_other
-                    article -= was_article
-                    if name == tag:
-                        break
-        elif tag not in _VOID and not m[0].endswith("/>"):
+                while pop() != tag:
+                    pass
+            continue
+        for kind in _ENDS.get(tag, ()):
+            if opened[kind] >= 0:
+                end_line()
+                for _ in range(len(stack) - opened[kind]):
+                    pop()
+        if tag not in _VOID and not m[0].endswith("/>"):
             is_other, is_article = _roles(tag, m[4], article > 0)
             if is_other and tag not in _BLOCKS:
                 end_line()
-            stack.append((tag, is_other, is_article))
+            stack.append((tag, is_other, is_article, opened))
+            if tag in _OPEN or tag in _HIDES:
+                opened = [-1 if kind in _HIDES.get(tag, ()) else place for kind, place in enumerate(opened)]
+                if tag in _OPEN:
+                    opened[_OPEN[tag]] = len(stack) - 1
             other += is_other
             article += is_article
     text(page[at:])

@@ -78,6 +78,30 @@ def test_main_text_without_end_tags(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<section id="related-work"><h2 id="search-engines">One.</h2><p>Two.</p></section>',
+        '<section id="social-impact"><p class="ad-hoc">One.</p></section><p>Two.</p>',
+        '<p class="related-work">One.</p><div class="section" id="comments">Two.</div>',
+        '<p>One.</p><p class="notice">No.<p>Two.',
+        "<p>One.</p><div hidden><p class=ad>No.</div><div>Two.</div>",
+        "<ul><li>One.<li class=ad>No.<li>Two.</ul>",
+        "<dl><dt>One.<dd class=ad>No.<dt>Two.</dl>",
+        "<table><tr><td>One.<td class=ad>No.<tr><td>Two.</table>",
+        "<table><tr class=ad><td>No.<td>No.<tr><td>One.<tr><td>Two.</table>",
+        "<table><tr><td>One.<tr class=ad><td><table><tr><td>No.<tr><td>No.</table>No.<tr><td>Two.</table>",
+        "<p>One.<ul class=social-share><li><ul><li>No.</ul><li>No.</ul><p>Two.",
+        "<p>One.<article class=comment-body><p>No.</article><article class='post has-comments'><p>Two.</article>",
+        '<p>One.<div class="cookie-notice">No.</div><div class="related-posts">No.</div><div id="sidebar">No.</div>Two.',
+    ],
+)
+def test_names_and_open_elements_inside_an_article(inside):
+    from logbraid.llm.html_extraction import main_text
+
+    assert main_text(f"<article>{inside}</article>") == "One. Two."
+
+
 def test_open_canvases_take_linear_time():
     from logbraid.llm.html_extraction import main_text
 
