@@ -1,12 +1,14 @@
-"""Removal of repeated byte strings by a sparse suffix array that is built bucket by bucket.
+"""Removal of repeated byte strings by minimizer sampling and a join of fingerprints, bucket by bucket.
+
+There is no difference cover and no order of suffixes; buckets are sorted by hashes, to find equal ones.
 
 A suffix is cut at `min_bytes` bytes, as only ties of that length matter. No table of all suffixes is
 made. A cover sample stands for them: each suffix goes to the k-gram with the smallest hash inside its first
-`min_bytes` bytes, so equal suffixes meet at the same sampled place, as with a difference cover, though the sample holds about
+`min_bytes` bytes (its minimizer), so equal suffixes meet at the same sampled place; the sample holds about
 one place in 16. Suffixes of one sampled place are neighbours and form a run.
 
 1. Runs are dealt by the hash of their place into buckets. Each bucket is sorted by (place, content of the
-   run): this ranks the cover sample. A run whose content is also in an earlier document is removed
+   run), by their hashes. A run whose content is also in an earlier document is removed
    whole; a place that only one content has settles its suffixes as free of ties.
 2. The runs left, at the edges of repeats, are dealt by their place with the text they span, and one bucket of
    suffixes at a time is sorted to resolve the ties. A hot place, with many contents, deals its suffixes one by one by fingerprint.
@@ -14,7 +16,7 @@ one place in 16. Suffixes of one sampled place are neighbours and form a run.
 
 Each task first reduces what it has: of a repeat it sends the first document only, and of a place with many
 contents only two, so a passage that a third of all documents share costs a few rows per task. Equality is
-decided on fingerprints of 64 bits or more.
+decided on fingerprints of 64 bits.
 """
 from __future__ import annotations
 
@@ -75,7 +77,7 @@ def cover_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: i
     lo, best, text = at[first], best[first], text[first]
     place = (best & low).astype(np.int64)
     content = range_hash(h, lo, lo + count - 1 + length) ^ mix((place - lo).astype(np.uint64))
-    return h, text, lo, count, (best >> _U(POSITION_BITS)).astype(np.int64), (content >> _U(20)).astype(np.int64)
+    return h, text, lo, count, (best >> _U(POSITION_BITS)).astype(np.int64), content.view(np.int64)
 
 
 def _chunks(batch: pa.RecordBatch, length: int):

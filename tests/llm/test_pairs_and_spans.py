@@ -101,6 +101,17 @@ def test_remove_repeats_in_hot_places():
     assert np.cumsum(step).tolist() == [5, 5, 6] and sent.tolist() == [1, 2, 1]
 
 
+def test_contents_of_a_place_keep_64_bits():
+    from logbraid.llm.arrow_text import pack, unpack
+    from logbraid.llm.suffix_dedup import cover_runs
+
+    data = np.random.default_rng(3).integers(97, 123, 20_000).astype(np.uint8)
+    content = cover_runs(data, np.array([0]), np.array([len(data)]), 50)[-1]
+    assert content.dtype == np.int64 and np.bitwise_or.reduce(content.view(np.uint64)) == np.uint64(2**64 - 1)
+    assert len(np.unique(content >> 44)) > 900
+    assert (unpack(pack(content))[0] == content).all()
+
+
 def test_remove_repeats_of_an_empty_table(spark):
     from logbraid.llm.suffix_dedup import remove_repeats
 
