@@ -7,6 +7,7 @@ the filters are literals of bounded size in the plan.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -19,8 +20,10 @@ from logbraid.session import cut
 BITS_PER_KEY, HASHES = 10, 5
 #: A byte of a filter holds seven bits, so that it is an ASCII character.
 BITS = 7
-#: Keys of one cascade; more are split by hash into several, each of which judges its own pages.
+#: Keys that one filter is to hold; more are split by hash into several cascades, each of which judges its own pages.
 MAX_KEYS = 1_000_000
+#: Bytes of a filter that come to the driver as one row.
+BLOCK = 4096
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -51,18 +54,31 @@ def _bits(key: Column, level: int, size: int) -> list[Column]:
 
 
 def _filter(keys: DataFrame, level: int, count: int) -> tuple[bytes, int]:
-    """A Bloom filter of `count` keys; one row per byte comes to the driver, at most MAX_KEYS * BITS_PER_KEY / BITS."""
+    """A Bloom filter of `count` keys; one row per BLOCK bytes of it comes to the driver."""
     size = max(64, count * BITS_PER_KEY)
+    n_bytes = -(-size // BITS)
+    ones = keys.select(F.explode(F.array(*_bits(F.col("key"), level, size))).alias("bit")).select(
+        F.expr(f"bit div {BITS}").alias("at"), F.call_function("shiftleft", F.lit(1), F.pmod("bit", F.lit(BITS)).cast("int")).alias("bits")
+    )
+    every = keys.sparkSession.range(n_bytes).select(F.col("id").alias("at"), F.lit(0).alias("bits"))
     rows = (
-        keys.select(F.explode(F.array(*_bits(F.col("key"), level, size))).alias("bit"))
-        .groupBy((F.col("bit") - F.pmod("bit", F.lit(BITS))).alias("first"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("bit", F.lit(BITS)).cast("int"))).alias("bits"))
-        .toArrow()
+        ones.union(every)
+        .groupBy("at")
+        .agg(F.bit_or("bits").alias("bits"))
+        .groupBy(F.expr(f"at div {BLOCK}").alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", F.char("bits").alias("byte")))).alias("bytes"))
+        .select("block", F.encode(F.array_join("bytes.byte", ""), "UTF-8").alias("data"))
+        .collect()
     )
-    out = bytearray(-(-size // BITS))
-    for first, bits in zip(rows.column("first").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        out[first // BITS] = bits
-    return bytes(out), size
+    return b"".join(bytes(r.data) for r in sorted(rows, key=lambda r: r.block)), size
+
+
+def _shards(universe: DataFrame) -> int:
+    """Cascades for universe(key, listed): level 0 holds listed keys, level 1 unlisted ones that pass it, all others fewer of either. The
+    share that passes is taken twice as large as expected."""
+    n, n_listed = universe.agg(F.count("*"), F.count_if("listed")).first()
+    passing = min(1, 2 * (1 - math.exp(-HASHES / BITS_PER_KEY)) ** HASHES)
+    return max(1, math.ceil((n_listed + (n - n_listed) * passing) / MAX_KEYS)) if n_listed else 1
 
 
 def _passes(key: Column, level: int, built: tuple[bytes, int]) -> Column:
@@ -103,13 +119,13 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     and path, fits no rule with a host, and is blocked only if the empty host is listed. Null hosts in `listed` are ignored, as are
     repeated ones and hosts that no page has; repeated pages are judged one by one; either table may be empty, and other columns are ignored.
     """
-    shards = max(1, -(-listed.select("host").distinct().count() // MAX_KEYS))
     rule, action = longest_rule(F.col("host"), F.col("path"), rules)
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     marks = parts.select(F.col("host").alias("key"), F.lit(False).alias("listed"), F.lit(True).alias("seen")).union(
         listed.where("host is not null").select("host", F.lit(True), F.lit(False))
     )
     universe = cut(marks.groupBy("key").agg(F.max("listed").alias("listed"), F.max("seen").alias("seen")).where("seen"))
+    shards = _shards(universe)
     shard = lambda c: F.pmod(F.xxhash64(F.lit("shard"), c), F.lit(shards))
     out = []
     for s in range(shards):

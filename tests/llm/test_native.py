@@ -179,6 +179,25 @@ def test_cascade_is_exact(spark):
         u.BITS_PER_KEY = old
 
 
+def test_filters_are_bounded_on_every_level(spark, monkeypatch):
+    """Few listed hosts and very many others: what passes level 0 by mistake counts for the number of cascades."""
+    from logbraid.llm import url_filters as u
+
+    monkeypatch.setattr(u, "MAX_KEYS", 100)
+    monkeypatch.setattr(u, "BLOCK", 16)
+    sizes, build = [], u._filter
+
+    def filtered(keys, level, count):
+        sizes.append(count)
+        return build(keys, level, count)
+
+    monkeypatch.setattr(u, "_filter", filtered)
+    pages = spark.range(30_000).selectExpr("id as page_id", "concat('http://h', id, '/') as url")
+    table = spark.range(90).selectExpr("concat('h', id) as host")
+    assert u.judge_urls(pages, table).where("listed != (page_id < 90) or listed != (verdict = 'block')").isEmpty()
+    assert max(sizes) <= 100
+
+
 def test_plans_have_no_python(spark):
     from logbraid.llm.decontamination import contamination
     from logbraid.llm.quality_rules import quality_rules
