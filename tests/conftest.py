@@ -1,12 +1,12 @@
 import os
 import sys
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-BASE = datetime(2026, 8, 3, 12, 0, 0, tzinfo=timezone.utc)
+from helpers import BASE  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -39,9 +39,3 @@ def events(spark):
         return spark.createDataFrame(full, EVENT)
 
     return make
-
-
-def rows(frame, *columns):
-    """Rows as a sorted list of tuples."""
-    frame = frame.select(*columns) if columns else frame
-    return sorted((tuple(r) for r in frame.collect()), key=repr)

@@ -4,7 +4,7 @@ from datetime import datetime
 import models
 import pandas as pd
 import pytest
-from conftest import BASE, rows
+from helpers import BASE, rows
 from pyspark.sql import functions as F
 
 from logbraid.config import CorrelationConfig

@@ -1,6 +1,6 @@
 import json
 
-from conftest import BASE, rows
+from helpers import BASE, rows
 from pyspark.sql import functions as F
 
 from logbraid.operators import components, incidents, shape, store

@@ -1,24 +1,20 @@
-"""A part of the registered queries next to their SQL; `python tests/oracle.py SF` runs all of them."""
+"""The registered queries next to their SQL at the smallest size; `python tests/oracle.py SF` runs them at any size."""
 import oracle
 import pytest
 
 SF_DIR = "/root/testdata/sf0.001"
-NAMES = (
-    "union_sources extract_identifiers flatten_payload stitch_entries cap_per_group id_match_edges linked_events time_buckets "
-    "chunks lexical_links all_edges components top_incidents incident_subgraph correlation_components batch_run stream_ingest id_match_pairs format_events shape_nodes resolve_anchors pair_verdicts_relaxed case_status"
-).split()
+import __spark_entry__ as entry
+from queries.registry import ORACLES
+
+NAMES = sorted(name for name in ORACLES if not name.startswith("op") and name != "pipeline")
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, name):
-    import __spark_entry__ as entry
-
     ok, text = oracle.compare(spark, oracle.connect(SF_DIR), name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
     assert ok, text
 
 
 def test_entry(spark):
-    import __spark_entry__ as entry
-
     assert entry.entry(spark).columns == ["incident_id", "event_count", "sources_involved", "start_us", "end_us"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

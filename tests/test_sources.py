@@ -3,7 +3,7 @@ import json
 from datetime import datetime, timezone
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from logbraid.config import CorrelationConfig
