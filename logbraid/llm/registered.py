@@ -226,3 +226,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logbraid.llm.token_counts import section_tokens
 
     return section_tokens(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query(
+    "op13_warc",
+    """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))::INT) & 31 AS INT), 1)), '') AS payload_digest
+    FROM p),
+first AS (SELECT payload_digest, max(page_id) AS first FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN first USING (payload_digest)
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logbraid.llm.warc import round_trip
+
+    return round_trip(read(spark, sf_dir, "pages")).drop("intact")
