@@ -246,3 +246,28 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logbraid.llm.warc import round_trip
 
     return round_trip(read(spark, sf_dir, "pages")).drop("intact")
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op11_ranked_search",
+    f"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+sums AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+found AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, sums GROUP BY term, n_docs),
+scores AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM wanted JOIN found USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), sums GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logbraid.llm.lexical_search import build_index, search
+
+    return search(build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), 50)
