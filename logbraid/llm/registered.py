@@ -271,3 +271,64 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logbraid.llm.lexical_search import build_index, search
 
     return search(build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), 50)
+
+
+#: crc32 of the decimal doc_id, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+    flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+
+@query(
+    "op12_periodic_runs",
+    rf"""
+WITH d AS (SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+a AS (SELECT doc_id, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS tail, len(w) AS n, w, (h // 10) % greatest(len(w), 1) AS a FROM d),
+r AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+words AS (
+    SELECT doc_id, i, CASE WHEN tail AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word
+    FROM (SELECT *, unnest(range(0, n)) AS i FROM r)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+islands AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM same),
+stretches AS (
+    SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM islands GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(12, 2 * p)),
+runs AS (SELECT doc_id, start, length, min(p) AS period FROM stretches GROUP BY doc_id, start, length),
+lists AS (
+    SELECT doc_id, count(*) AS n_runs, first(start ORDER BY length DESC, start, period) AS start, first(length ORDER BY length DESC, start, period) AS length,
+        first(period ORDER BY length DESC, start, period) AS period, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+    FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+texts AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+    sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN texts USING (doc_id)
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logbraid.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(with_periodic_tails(read(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "start",
+        "length",
+        "period",
+        F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """The contract's input: in a tenth of the documents, by crc32 of the id, the words from one on repeat with a period. A null id changes nothing."""
+    from logbraid.llm.native_words import split_words
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", F.when(h % 10 == 0, split_words(F.col("text"), r"[\x20\x09-\x0D]+")).alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w").cast("long")
+    docs = docs.withColumn("a", F.col("g") % F.greatest(n, F.lit(1)))
+    docs = docs.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, int(a) + 1, int(p)), int(ceil((size(w) - a) / p)))), 1, int(size(w) - a))")
+    return docs.select("doc_id", F.when(n > 0, F.concat_ws(" ", F.expr("slice(w, 1, int(a))"), tail)).otherwise(F.col("text")).alias("text"))
