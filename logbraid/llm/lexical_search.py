@@ -130,6 +130,8 @@ def build_treap(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, heigh
 
     The grid has 2^height rows and columns; its points are distinct. Bit 2 * r + c of a cell's mask stands for the quadrant of row bit r and column bit c.
     """
+    if not len(rows):  # a root without children
+        return np.zeros(1, np.uint8), np.zeros(1, np.int64), np.array([1] + [0] * height)
     key = (_spread(rows) << _U(1)) | _spread(columns)
     order = np.argsort(key, kind="stable")
     key, top = key[order], values[order]

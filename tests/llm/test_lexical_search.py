@@ -1,0 +1,115 @@
+"""Ranked search against a walk over all documents."""
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from texts import corpus, frame, pairs
+
+from logbraid.llm import lexical_search as search
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+ITEMS = "item_id long, text string, rank long, query long, doc_id long, term string"
+
+
+def terms(text):
+    return TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(docs, items, k):
+    counts = [(i, Counter(terms(t))) for i, t in docs]
+    n_docs, n_terms = sum(bool(c) for _, c in counts), sum(sum(c.values()) for _, c in counts)
+    holding = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for i, c in counts:
+            n = sum(c.values())
+            score = 0
+            for t in set(terms(text)) & set(c):
+                w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * holding[t] + 1)))
+                m = 100 - 50 + 50 * n * n_docs // n_terms
+                score += w * (1_000_000_000 * c[t] // (1000 * c[t] + 20 * m))
+            if score > 0:
+                scores.append((-score, i is None, i or 0, i))
+        out += [(item, r + 1, s[3], -s[0]) for r, s in enumerate(sorted(scores)[:k])]
+    return sorted(out, key=repr)
+
+
+def items(spark, rows):
+    return spark.createDataFrame([(i, t, 1, 2, 3, "t") for i, t in rows], ITEMS)
+
+
+def questions():
+    rng = random.Random(8)
+    texts = [t for _, t in pairs() if t]
+    out = [(i, " ".join(rng.sample(rng.choice(texts).split() or ["x"], 1) + rng.choice(texts).split()[:12])) for i in range(25)]
+    return [*out, out[3], (out[4][0], "the ea"), (90, None), (91, ""), (92, "--- !"), (93, "nowhereatall"), (94, "THE é É x3"), (None, "the ti"), (95, texts[3])]
+
+
+def asked(rows):
+    return list(dict.fromkeys(rows))
+
+
+@pytest.mark.parametrize(("k", "docs_each", "bytes_each", "opened"), [(50, 1 << 16, 16 << 20, 256), (3, 8, 200, 2), (1, 1 << 16, 900, 1), (1000, 16, 1 << 20, 7)])
+def test_equals_a_walk_over_all_documents(spark, monkeypatch, k, docs_each, bytes_each, opened):
+    # The functions run inside tasks; small ranges and steps are handed over as defaults of the module there, so they are tried here, outside of Spark.
+    for name, value in (("RANGE_DOCS", docs_each), ("RANGE_BYTES", bytes_each), ("OPEN_AT_ONCE", opened), ("PIECE_BYTES", 64)):
+        monkeypatch.setattr(search, name, value)
+    import pyarrow as pa
+
+    docs, rows = pairs(), asked(questions())
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    counted = next(iter(search._map_counts(iter([batch.select(["text"])]))))
+    n_docs, n_terms = (int(c[0].as_py()) for c in counted.columns)
+    index = list(search._map_index(n_docs, n_terms)(iter([batch])))
+    assert sum(b.column("n_docs")[0].as_py() for b in index) == len(docs)
+    queries = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([t for _, t in rows])], ["query", "text"])
+    found = {(q, t) for b in search._map_terms(iter([queries])) for q, t in zip(*(c.to_pylist() for c in b.columns))}
+    wanted = np.unique([t for _, t in found])
+    (held,) = search._map_holding(wanted)(iter(index))
+    holding = dict(zip(*(c.to_pylist() for c in held.columns)))
+    asks = sorted((q, t) for q, t in found if t in holding)
+    weights = np.array([search.weight(n_docs, holding[t]) for _, t in asks])
+    hits = search._map_search(np.array([q for q, _ in asks]), np.array([t for _, t in asks]), weights, k)(iter(index))
+    got = []
+    for b in hits:
+        for r, (q, d, s) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
+            got.append((rows[q][0], r + 1, d, s))
+    assert sorted(got, key=repr) == brute(docs, rows, k)
+
+
+def test_query_equals_a_walk_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(search, "ITEMS_PER_PASS", 7)
+    got = search.search(search.build_index(frame(spark)), items(spark, questions()).repartition(3), 5)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(pairs(), asked(questions()), 5)
+
+
+def test_nothing_to_search(spark):
+    empty = search.build_index(frame(spark).limit(0))
+    assert search.search(empty, items(spark, questions())).count() == 0
+    index = search.build_index(frame(spark, corpus()[:9]))
+    assert search.search(index, items(spark, questions()).limit(0)).count() == 0
+    assert search.search(index, items(spark, [(1, None), (2, "nowhereatall")])).count() == 0
+    assert search.search(search.build_index(frame(spark, [(1, None, *"ab", 0, 1, 2, *"cdef")])), items(spark, [(1, "a")])).count() == 0
+
+
+def test_treaps_keep_every_cell():
+    rng = np.random.default_rng(6)
+    for side in (2, 5, 70):
+        grid = (rng.random((side, side)) < 0.3) * rng.integers(1, 1000, (side, side))
+        rows, columns = np.nonzero(grid)
+        if not len(rows):
+            continue
+        height = search._height(side)
+        masks, maxima, sizes = search.build_treap(rows, columns, grid[rows, columns], height)
+        treap = search.Treap(search.store_treap(masks, maxima, sizes))
+        assert (treap.maxima == maxima).all() and treap.maxima[0] == grid.max()
+        for row in range(side):
+            best = search._Best(side)
+            search.search_range(treap, np.array([row]), np.array([3]), np.arange(side), np.zeros(side, bool), best)
+            want = sorted(((-3 * int(v), i) for i, v in enumerate(grid[row]) if v))
+            assert [(-s, i) for s, i in zip(best.score.tolist(), best.ids.tolist())] == want
