@@ -109,7 +109,7 @@ def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("payload"),
     )
-    rows.mapInArrow(tidy_map(_map_chunks(chunk_bytes)), CHUNKS).write.parquet(folder)
+    rows.mapInArrow(tidy_map(_map_chunks(chunk_bytes)), CHUNKS).write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(CHUNKS).parquet(folder)
 
 
