@@ -26,7 +26,7 @@ from logbraid.llm.shingles import LOWER
 from logbraid.session import new_folder
 
 #: A range of documents is closed when its texts hold so many bytes, or at so many documents.
-RANGE_BYTES, RANGE_DOCS = 16 << 20, 1 << 16
+RANGE_BYTES, RANGE_DOCS = 8 << 20, 1 << 16
 #: A longer text is read in pieces, cut between words.
 PIECE_BYTES = 1 << 20
 #: Queries are answered in blocks of so many, and nodes opened so many at a time.
@@ -163,8 +163,8 @@ class Treap:
         nibbles = np.frombuffer(row["masks"], np.uint8)
         self.masks = np.stack([nibbles & 15, nibbles >> 4], 1).reshape(-1)[:total]
         children = _ONES[self.masks]
-        self.first = np.cumsum(children) - children + 1
-        down = from_planes(row["maxima"], total, 3).view(np.int64)
+        self.first = (np.cumsum(children) - children + 1).astype(np.int32)
+        down = from_planes(row["maxima"], total, 3).astype(np.int32)
         # Differences are undone one level after another.
         self.maxima, at = down, 1
         for size, above in zip(self.sizes[1:].tolist(), self.sizes[:-1].tolist()):
