@@ -9,6 +9,7 @@ Neither counts in the other's windows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import groupby
@@ -24,13 +25,37 @@ WINDOW, SURGE, SURGE_SHARE = 3, 86, 0.2
 #: What the mark of an article adds to a line, as a share of the surge: two lines surge by it, one short line alone does not.
 ARTICLE_BONUS = 0.5
 
-_MARKUP = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|$))"
-    r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|$)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.I | re.S,
-)
+def _markup(quoted: str) -> re.Pattern:
+    """Markup: `open` is there if a comment or script has no end, `torn` if a tag ends at its first `>` as its quotes do not close."""
+    return re.compile(
+        r"<!--(?:-?>|.*?(?:--!?>|(?P<open>$)))"
+        r"|<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|(?P<open_raw>$))"
+        rf"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>{quoted}|(?P<torn>[^>]*))>"
+        r"|<[!?][^>]*>",
+        re.I | re.S,
+    )
+
+
+_MARKUP = _markup(r"""(?:[^>"']|"[^"]*"|'[^']*')*+""")
+#: On a page with quotes that do not close: a quoted value holds no `<`.
+_TORN_MARKUP = _markup(r"""(?:[^<>"']|"[^"<]*"|'[^'<]*')*+""")
+
+
+def _tags(page: str) -> tuple[list[re.Match], int, int]:
+    """All markup, and where the text behind it begins and ends. Linear in the page: no tag begins behind the last `>`, and a tag is looked for to the end of the
+    page in vain only once."""
+    last, at, pattern, found = page.rfind(">") + 1, 0, _MARKUP, []
+    while at < last and (m := pattern.search(page, at, last)):
+        found.append(m)
+        at = m.end()
+        if m["open"] is not None or m["open_raw"] is not None:
+            return found, len(page), len(page)
+        if m["torn"] is not None:
+            pattern = _TORN_MARKUP
+    comment = page.find("<!--", at)
+    return found, at, comment if comment >= 0 else len(page)
+
+
 _P, _LI, _DD, _OPTION, _CELL, _ROW, _ROWS = range(7)
 #: Elements whose end tag may be left out, what ends them, and what hides those outside it.
 _OPEN = {"p": _P, "li": _LI, "dt": _DD, "dd": _DD, "option": _OPTION, "td": _CELL, "th": _CELL, "tr": _ROW, "thead": _ROWS, "tbody": _ROWS, "tfoot": _ROWS}
@@ -100,10 +125,10 @@ def _skips(tags: list[re.Match]) -> dict[int, int]:
     """Of each start tag of _SKIPPED that has an end tag, the number of that end tag."""
     opened, ends = {}, {}
     for i, m in enumerate(tags):
-        tag = (m[3] or "").lower()
+        tag = (m["tag"] or "").lower()
         if tag not in _SKIPPED:
             continue
-        if m[2]:
+        if m["end"]:
             if opened.get(tag):
                 ends[opened[tag].pop()] = i
         elif not (tag in ("svg", "math") and m[0].endswith("/>")):
@@ -115,6 +140,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside links, inside the article) of each line with main text; a line of something else is empty."""
     lines, words, at = [], [], 0
     stack: list[tuple[str, bool, bool, list[int]]] = []
+    names: Counter[str] = Counter()  # open elements
     #: Where in the stack the last open element of each kind of _OPEN is, or -1.
     opened = [-1] * 7
     other = article = links = 0
@@ -138,11 +164,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     def pop() -> str:
         nonlocal other, article, opened
         name, was_other, was_article, opened = stack.pop()
+        names[name] -= 1
         other -= was_other
         article -= was_article
         return name
 
-    tags = list(_MARKUP.finditer(page))
+    tags, behind, end = _tags(page)
     skips, until = _skips(tags), -1
     for i, m in enumerate(tags):
         if i <= until:
@@ -150,7 +177,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         text(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m["tag"] or "").lower()
         if stack and stack[-1][0] == "title":  # without an end tag: any tag ends it
             end_line()
             pop()
@@ -163,12 +190,12 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if not tag or tag == "head" or tag in _SKIPPED and tag != "title":
             continue
         if tag == "a":
-            links = max(0, links + (-1 if m[2] else 1))
+            links = max(0, links + (-1 if m["end"] else 1))
         if tag in _BLOCKS:
             end_line()
-        if m[2]:
-            if any(s[0] == tag for s in stack):
-                end_line() if tag not in _BLOCKS and any(s[1] for s in stack) else None
+        if m["end"]:
+            if names[tag]:
+                end_line() if tag not in _BLOCKS and other else None
                 while pop() != tag:
                     pass
             continue
@@ -178,17 +205,18 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 for _ in range(len(stack) - opened[kind]):
                     pop()
         if tag not in _VOID and not m[0].endswith("/>"):
-            is_other, is_article = _roles(tag, m[4], article > 0)
+            is_other, is_article = _roles(tag, m["attributes"], article > 0)
             if is_other and tag not in _BLOCKS:
                 end_line()
             stack.append((tag, is_other, is_article, opened))
+            names[tag] += 1
             if tag in _OPEN or tag in _HIDES:
                 opened = [-1 if kind in _HIDES.get(tag, ()) else place for kind, place in enumerate(opened)]
                 if tag in _OPEN:
                     opened[_OPEN[tag]] = len(stack) - 1
             other += is_other
             article += is_article
-    text(page[at:])
+    text(page[max(at, behind) : end])
     end_line()
     return lines
 
@@ -212,7 +240,7 @@ def main_text(page: str | None) -> str:
         keep.update(i for i, inside in zip(run, _text_lines([lines[i][1] + ARTICLE_BONUS * surge for i in run], surge), strict=True) if inside)
     rest = [i for i, (_, _, in_article) in enumerate(lines) if not in_article]
     found = _text_lines([lines[i][1] for i in rest], surge)
-    keep.update(i for i, inside in zip(rest, found, strict=True) if inside and lines[i][1] * 2 >= len(lines[i][0]) > 0)
+    keep.update(i for i, inside in zip(rest, found, strict=True) if inside and lines[i][0])
     return " ".join(lines[i][0] for i in sorted(keep))
 
 

@@ -372,3 +372,21 @@ def similarity_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     return every.select("doc_id", F.col("n").alias("n_shingles"), "sig_a", "sig_b").join(located, ["sig_a", "sig_b"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
+
+
+def one_per_class(docs: DataFrame, columns: list[str], k: int = 5, percent: int = 80) -> DataFrame:
+    """Of each class of `similarity_classes` the document with the smallest doc_id, in `columns` (doc_id and text among them).
+
+    Rows with one doc_id are one document: each of its texts stays once, with the least other columns of the rows that have it. Rows without a doc_id stay.
+    """
+    folder = new_folder(docs.sparkSession)
+    similarity_classes(docs, k, percent).where("doc_id = component_id").select("doc_id").write.parquet(folder)
+    rows = docs.sparkSession.read.schema("doc_id long").parquet(folder).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    docs = docs.select(*columns)
+    once = docs.join(broadcast_within(rows.where("rows = 1").select("doc_id"), MAX_IDS), "doc_id", "left_semi")
+    more = docs.join(broadcast_within(rows.where("rows > 1").select("doc_id"), MAX_IDS), "doc_id", "left_semi")
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    least = F.min(F.struct(*rest)) if rest else F.lit(None)
+    more = more.groupBy("doc_id", "text").agg(least.alias("rest")).select("doc_id", "text", *(F.col(f"rest.{c}").alias(c) for c in rest))
+    parts = [part.select(*columns) for part in (once, more, docs.where("doc_id is null"))]
+    return parts[0].union(parts[1]).union(parts[2])

@@ -27,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logbraid.session import cut
+from logbraid.operators.ranking import position_in_group
+from logbraid.session import broadcast_within, cut
 from logbraid.llm.arrow_text import (
     POWERS, by_part, column_bytes, expand, mix, pack, prefix_hash, range_hash, runs_of, slices, tidy_group, tidy_map, unpack, unpack_all,
 )
 
 K = 20
 POSITION_BITS = 22
+#: Places above this many bits name the text, where a doc_id comes with several; a text has fewer bytes.
+TAG_BITS = 31
 CHUNK = 1 << 18
 FLUSH = 400_000
 #: A place with more contents than this in one task, or than MANY in all, is hot: its suffixes are dealt one by one.
@@ -42,6 +45,8 @@ CONTENTS, MANY = 8, 1_000
 #: as the place is hot, with all suffixes of the same fingerprint.
 WHOLE, EDGE, HOT = 0, 1, 2
 BLOB = "part long, blob binary"
+#: Sides of at most so many ids are broadcast.
+MAX_IDS = 2_000_000
 _U = np.uint64
 
 
@@ -81,16 +86,26 @@ def cover_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: i
 
 
 def _chunks(batch: pa.RecordBatch, length: int):
-    """Texts of at most CHUNK bytes that overlap by length - 1 bytes: (row, offset of the chunk, bytes, starts, ends)."""
+    """Texts of at most CHUNK bytes that overlap by length - 1 bytes: (doc_id, place of the chunk, bytes, starts, ends)."""
     for part in slices(batch, "text", CHUNK):
         data, offsets = column_bytes(part.column("text"))
         ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        tags = _tags(part)
         if len(data) <= CHUNK:
-            yield ids, np.zeros(len(ids), np.int64), data, offsets[:-1], offsets[1:]
+            yield ids, tags, data, offsets[:-1], offsets[1:]
         else:  # one long text
             for at in range(0, len(data), CHUNK):
                 piece = data[at : at + CHUNK + length - 1]
-                yield ids, np.array([at]), piece, np.array([0]), np.array([len(piece)])
+                yield ids, tags + at, piece, np.array([0]), np.array([len(piece)])
+
+
+def _tags(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64) << TAG_BITS
+
+
+def _own(lo: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Which places are in the text with that tag."""
+    return lo >> TAG_BITS == tag >> TAG_BITS
 
 
 def _found(doc: np.ndarray, lo: np.ndarray, count: np.ndarray, kind: int, parts: int, place=None) -> Iterator[tuple[int, bytes]]:
@@ -256,14 +271,18 @@ def _map_suffixes(length: int, parts: int):
                 spans = [unpack(s.as_buffer()) for s in part.column("spans")]
                 row = np.repeat(np.arange(len(spans)), [len(s[0]) for s in spans])
                 lo, code = (np.concatenate(c) for c in zip(*spans, strict=True))
+                tags = _tags(part)
+                own = _own(lo, tags[row])
+                row, lo, code = row[own], lo[own], code[own]
+                inside = lo - tags[row] + offsets[row]
                 kind, count, place = code % 4, (code & 255) // 4, code >> 8
                 e = kind == EDGE
                 if e.any():
-                    yield from _send_runs_of_text(data, lo[e] + offsets[row[e]], ids[row[e]], lo[e], count[e], place[e], length, parts)
+                    yield from _send_runs_of_text(data, inside[e], ids[row[e]], lo[e], count[e], place[e], length, parts)
                 hot = kind == HOT
                 if hot.any():
                     at, of = expand(lo[hot], count[hot]), np.repeat(row[hot], count[hot])
-                    where = at + offsets[of]
+                    where = expand(inside[hot], count[hot])
                     held.append((range_hash(prefix_hash(data), where, where + length).view(np.int64), ids[of], at))
                     size += len(at)
                 if size >= FLUSH:
@@ -317,15 +336,15 @@ def _cut(length: int, keep: Sequence[str], as_text: bool):
             for part in slices(batch, "text", 4 * CHUNK):
                 removed, kept, sizes, gone = [], [], [], []
                 columns = (part.column(c) for c in ("text", "spans", "more"))
-                for text, span, more in zip(*columns, strict=True):
+                for text, span, more, tag in zip(*columns, _tags(part).tolist(), strict=True):
                     text = text.as_buffer().to_pybytes() if text.is_valid else b""
                     los, his = [], []
                     for found in (span, more):
                         if found.is_valid:
                             lo, code = unpack(found.as_buffer())
-                            whole = code % 4 == WHOLE
-                            los.append(lo[whole])
-                            his.append(lo[whole] + (code[whole] & 255) // 4 - 1 + length)
+                            whole = (code % 4 == WHOLE) & _own(lo, np.int64(tag))
+                            los.append(lo[whole] - tag)
+                            his.append(lo[whole] - tag + (code[whole] & 255) // 4 - 1 + length)
                     sizes.append(len(text))
                     if sum(map(len, los)):
                         lo, hi = _merge(np.concatenate(los), np.concatenate(his))
@@ -348,6 +367,18 @@ def _cut(length: int, keep: Sequence[str], as_text: bool):
     return run
 
 
+def _tagged(texts: DataFrame) -> DataFrame:
+    """With `tag`, a number among the texts of the row's doc_id: 0 where there is one text."""
+    hashed = texts.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash"))
+    several = cut(hashed.groupBy("doc_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high").select("doc_id"))
+    if several.isEmpty():
+        return texts.withColumn("tag", F.lit(0).cast("long"))
+    pairs = hashed.join(broadcast_within(several, MAX_IDS), "doc_id", "left_semi").distinct()
+    tags = position_in_group(pairs, ["doc_id"], ["hash"], "tag", MAX_IDS).select(F.col("doc_id").alias("tagged_id"), "hash", "tag")
+    same = (F.col("doc_id") == F.col("tagged_id")) & (F.xxhash64("text") == F.col("hash"))
+    return texts.join(broadcast_within(tags, MAX_IDS), same, "left").drop("tagged_id", "hash").withColumn("tag", F.coalesce("tag", F.lit(0).cast("long")))
+
+
 def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """(doc_id, the columns named in `keep`, n_bytes, n_removed, removed array<struct<start, end>>, kept binary): each text without
     the bytes that a string of `min_bytes` bytes covers which also starts in a document with a smaller
@@ -355,8 +386,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep: Sequence[str] = (
 
     A null or empty text has nothing to remove, nor has one shorter than `min_bytes`. Of equal texts the one with the smallest doc_id stays.
     With `as_text`, `kept` is a string: of a character that a cut has split, the other bytes go too.
-    doc_id is a whole number that names one text; a row that is given twice comes out twice. A null doc_id is no
-    document: its row stays as it is. Other columns are ignored unless named in `keep`; no name clashes.
+    doc_id is a whole number; a row that is given twice comes out twice. Texts of one doc_id are one document: none is earlier than the other, and
+    each is cut by what documents with smaller ids hold. A null doc_id is no document: its row stays as it is. Other columns are ignored unless named in `keep`; no name clashes.
     """
     if not 8 <= min_bytes <= 62 + K:
         raise ValueError(f"min_bytes must lie between 8 and {62 + K}")
@@ -367,7 +398,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, keep: Sequence[str] = (
         F.col("text").cast("binary").alias("text"),
         *(F.col(c).alias(f"kept_{c}") for c in keep),
     )
-    runs = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(tidy_map(_map_runs(min_bytes, parts)), BLOB)
+    texts = _tagged(texts)
+    runs = texts.where("doc_id is not null").select("doc_id", "text", "tag").mapInArrow(tidy_map(_map_runs(min_bytes, parts)), BLOB)
     cover = runs.groupBy("part").applyInArrow(tidy_group(_rank_cover(parts)), BLOB)
     # Read twice below, and small beside the texts.
     found = cut(cover.groupBy("part").applyInArrow(_per_document, "found_id long, spans binary"))

@@ -7,6 +7,7 @@ document's bytes; an interval join over the sorted ranges gives each token to a
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +18,13 @@ from pyspark.sql import functions as F
 
 from logbraid.llm.arrow_text import column_bytes, slices
 
+#: Longer runs of white space are encoded as a token pattern would cut them, without the pattern: its engine keeps a step for each character.
+LONG_SPACE = 10_000
+#: White space as the pattern's engine sees it (a fixed set), and the part of the pattern that takes a run of it.
+_SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{_SPACES}]{{{LONG_SPACE},}}")
+SPACE_RULE = r"\s+(?!\S)"
+
 RULES = ("first", "last", "most")
 SECTION = "doc_id long, section int, start long, end long, n_chars long, n_tokens long, n_crossing long"
 #: Rows of a batch of results.
@@ -35,6 +43,20 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encode(encoding, text: str, pattern: str) -> list[int]:
+    """The text's tokens. Of a run of white space with a character behind it the pattern takes all but the last one; it takes no
+    other match across that place, so long runs are cut out there and merged on their own."""
+    if SPACE_RULE not in pattern:
+        return encoding.encode_ordinary(text)
+    tokens, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        tokens += encoding.encode_ordinary(text[at : run.start()])
+        tokens += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return tokens + encoding.encode_ordinary(text[at:])
+
+
 def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, of these those that cross a boundary) per section. Both are ranges that follow one another from 0, given by their ends; no section is empty."""
     if rule not in RULES:
@@ -66,7 +88,7 @@ def _map_sections(path: str, pattern: str, rule: str):
                     if not text:
                         continue
                     data, _ = column_bytes(pa.array([text]))
-                    tokens = np.cumsum(sizes[encoding.encode_ordinary(text)])
+                    tokens = np.cumsum(sizes[encode(encoding, text, pattern)])
                     ends = np.flatnonzero(data == 0x0A) + 1
                     if not len(ends) or ends[-1] < len(data):
                         ends = np.append(ends, len(data))
@@ -98,7 +120,7 @@ def section_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, rule: str
 
     A line holds its newline; section counts from 0, start and end are characters of the text. n_crossing counts those of
     its tokens that also reach into another line. The tokens of a document add up to those of its whole text. A null or empty text
-    has no section. Repeated rows come out repeated; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
+    has no section. Runs of white space may be of any length if the pattern takes them by SPACE_RULE. Repeated rows come out repeated; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

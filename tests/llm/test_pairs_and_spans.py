@@ -83,6 +83,28 @@ def test_remove_repeats(spark, size):
     assert {r.lang for r in rows} == {"en"}
 
 
+def test_several_texts_of_one_id(spark):
+    from logbraid.llm.suffix_dedup import remove_repeats
+
+    rng = np.random.default_rng(2)
+    passage, other = ("".join(chr(c) for c in rng.integers(97, 123, n)) for n in (700, 90))
+    docs = [(2, "a" * 3 + passage), (2, "short"), (2, other + passage[:100]), (3, "x" + passage + "y" + other), (3, other * 2), (3, ""), (1, passage[300:420]), (4, other)]
+    docs += [(5, "z" * 30 + passage[i : i + 60 + i]) for i in range(60)] + [docs[3], (None, passage), (None, other)]
+    rows = [(d, t, "en", "s", 0, 1, 2, "", "", "", "") for d, t in docs]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in remove_repeats(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == repeats(docs, 50)
+
+
+def test_one_per_class_keeps_all_texts_of_an_id(spark):
+    from logbraid.llm.ngram_join import one_per_class
+
+    one, two = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = [(1, one, "en", "b"), (1, two, "en", "a"), (1, one, "de", "a"), (2, one, "en", "a"), (3, None, None, None), (None, one, "en", "a"), (None, one, "en", "a")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3)
+    got = sorted((tuple(r) for r in one_per_class(table, ["doc_id", "text", "lang", "source"]).collect()), key=repr)
+    assert got == sorted([(1, one, "de", "a"), (1, two, "en", "a"), (3, None, None, None), docs[5], docs[6]], key=repr)
+
+
 def test_remove_repeats_in_hot_places():
     """The same steps with places that are hot from the second content on, so suffixes go one by one."""
     import logbraid.llm.suffix_dedup as s

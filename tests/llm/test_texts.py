@@ -2,6 +2,8 @@
 from collections import Counter
 
 import numpy as np
+import random
+
 import pytest
 from texts import SF, frame, pairs
 
@@ -108,13 +110,67 @@ def test_open_canvases_take_linear_time():
     assert len(main_text("<article>" + "<canvas>word" * 50_000)) == 4 * 50_000
 
 
-def test_unclosed_quotes_take_linear_time():
+BROKEN = {
+    "quotes": lambda n: '<p a="' * n, "links": lambda n: '<a b="' * n, "end tags": lambda n: "<div>" * n + "</p>" * n, "quoted ends": lambda n: '<p ">"' * n,
+    "two quotes": lambda n: "<p '\">" * n + '"', "scripts": lambda n: "<script>" * n, "comments": lambda n: "<!--" * n + ">", "other end tags": lambda n: "<div>" * n + "</span>" * n,
+    "drawings": lambda n: "<svg>" * n + "</svg" * n + ">", "starts": lambda n: "<p " * n + '">"', "attributes": lambda n: "<div " + "class='" * n + ">x",
+    "script ends": lambda n: "<script>" + "</script " * n + ">x", "titles": lambda n: "<title>" * n + "x</title>" * n, "lists": lambda n: "<ul><li>" * n + "x",
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_broken_markup_takes_linear_time(kind):
+    import time
+
+    from logbraid.llm.html_extraction import main_text
+
+    def seconds(n):
+        began = time.perf_counter()
+        main_text(BROKEN[kind](n))
+        return time.perf_counter() - began
+
+    seconds(1000)
+    small, large = seconds(20_000), seconds(160_000)
+    assert large < 24 * max(small, 0.05)  # eight times the page; quadratic time would be 64 times as long
+
+
+def test_long_pages():
     from logbraid.llm.html_extraction import main_text
 
-    assert main_text("<p a=\"" * 20_000 + "x") is not None
     assert len(main_text("<article>" + "<p>word " * 50_000)) == 5 * 50_000 - 1
 
 
+def test_links_inside_the_main_text_stay():
+    from logbraid.llm.html_extraction import main_text
+
+    long, linked = "long text here and more of it " * 9, "all of this paragraph is a link text"
+    menu = "<p><a>one</a></p><p><a>two</a></p><p><a>three</a></p>"
+    page = f"<div>{menu}<p>{long}</p><h2><a>{linked}</a></h2><p><a>{linked}</a></p><p>{long}</p>{menu}</div>"
+    assert main_text(page) == " ".join([long.strip(), linked, linked, long.strip()])
+
+
+def test_quotes_that_do_not_close():
+    from logbraid.llm.html_extraction import main_text
+
+    assert main_text('<article><p>one <b x="a>b">two</b> <i y="z>three</i> <b x="4">four</b></article>') == "one two three four"
+
+
+def test_surge_and_dive_equal_their_definition():
+    from logbraid.llm.html_extraction import WINDOW, _text_lines
+
+    rng = random.Random(5)
+    for _ in range(500):
+        weights = [rng.choice([0, 0, 1, 5, 40, 90]) for _ in range(rng.randint(0, 25))]
+        surge = rng.choice([1, 10, 86])
+        window = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+        want = []
+        for i in range(len(weights)):
+            # A line is inside if, at or before it, a line with text surges, and no window from there to it has dived to zero.
+            begins = [b for b in range(i + 1) if weights[b] > 0 and window[b] >= surge]
+            want.append(any(all(w > 0 for w in window[b : i + 1]) for b in begins))
+        assert _text_lines(weights, surge) == want
+
+
 def test_extract_text(spark):
     from logbraid.llm.html_extraction import extract_text
 
@@ -251,3 +307,26 @@ def test_pooling_is_monotone():
     from logbraid.llm.quality_classifier import pool_adjacent
 
     assert pool_adjacent(np.array([1.0, 1, 2, 1]), np.array([0.0, 1, 0, 1])).tolist() == [0, pytest.approx(1 / 3), pytest.approx(1 / 3), 1]
+
+
+def test_runs_of_white_space_of_any_length(spark):
+    import public_tokenizers as P
+
+    from logbraid.llm import token_counts as t
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    encoding, _ = t._encoding(path, P.PATTERN)
+    rng, old = random.Random(2), t._LONG_RUN
+    t._LONG_RUN = __import__("re").compile(f"[{t._SPACES}]{{3,}}")
+    try:
+        for _ in range(3000):
+            text = "".join(rng.choice([" ", "  ", "\n", "\u3000", "\x1c", "\xa0", "a", "é", "1", "'s", "!", "   ", " \t"]) for _ in range(rng.randint(0, 14)))
+            assert t.encode(encoding, text, P.PATTERN) == encoding.encode_ordinary(text)
+    finally:
+        t._LONG_RUN = old
+    for n in (9_999, 10_000, 50_000):
+        text = "x" + " " * n + "y"
+        assert t.encode(encoding, text, P.PATTERN) == encoding.encode_ordinary(text)
+    docs = spark.createDataFrame([(1, "x" + " " * 1_000_000 + "y"), (2, "\n" * 30 + " " * 1_000_000)], "doc_id long, text string")
+    got = t.section_tokens(docs, path, P.PATTERN).groupBy("doc_id").sum("n_chars").collect()
+    assert {tuple(r) for r in got} == {(1, 1_000_002), (2, 1_000_030)}
