@@ -1,6 +1,6 @@
 """A pipeline over `documents`: each stage works on all rows the one before it kept, and its decisions take effect.
 
-Rows that share a doc_id count as one document from the second stage on. Every stage but the last returns the
+Rows that share a doc_id are one document: from the second stage on each of its texts is there once. Every stage but the last returns the
 columns of `documents`; the last returns where each piece of each document is packed.
 """
 from __future__ import annotations
@@ -31,14 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of 80 % of five-word shingles hold together, the document with the smallest doc_id stays. Documents without a
     word or an id are in no group."""
-    from logbraid.llm.ngram_join import similarity_classes
-
-    folder = new_folder(spark)
-    similarity_classes(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id").write.parquet(folder)
-    rows = spark.read.schema("doc_id long").parquet(folder).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    once = docs.join(broadcast_within(rows.where("rows = 1").select("doc_id"), MAX_IDS), "doc_id", "left_semi")
-    more = docs.join(broadcast_within(rows.where("rows > 1").select("doc_id"), MAX_IDS), "doc_id", "left_semi")
-    return once.union(more.dropDuplicates(["doc_id"])).union(docs.where("doc_id is null").select(*once.columns)).select(*COLUMNS)
+    from logbraid.llm.ngram_join import one_per_class
+
+    return one_per_class(docs, list(COLUMNS), k=5, percent=80)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
