@@ -31,20 +31,27 @@ def parse_tomcat_ts(text: Column) -> Column:
     )
 
 
-#: Further forms of timestamps, tried in this order.
+#: Further forms of timestamps, tried in this order, and what a text of each form looks like: other texts don't reach the parser.
 OTHER_FORMS = (
-    "yyyy-MM-dd HH:mm:ss,SSS", "yyyy/MM/dd HH:mm:ss", "MMM d yyyy HH:mm:ss", "yyyyMMdd'T'HHmmssX", "dd-MMM-yy hh.mm.ss.SSSSSS a",
+    ("yyyy-MM-dd HH:mm:ss,SSS", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}$"),
+    ("yyyy/MM/dd HH:mm:ss", r"^\d{4}/\d{2}/\d{2} "),
+    ("MMM d yyyy HH:mm:ss", r"^[A-Za-z]{3} \d{1,2} \d{4} "),
+    ("yyyyMMdd'T'HHmmssX", r"^\d{8}T\d{6}"),
+    ("dd-MMM-yy hh.mm.ss.SSSSSS a", r"^\d{2}-[A-Za-z]{3}-\d{2} "),
 )
+#: What a cast can read begins with a year.
+_CASTABLE = r"^[+-]?\d{4,6}(?:$|-)"
 
 
 def parse_ts_or_now(text: Column, now: Column) -> Column:
     """Missing text gives `now`; text that is no timestamp gives null, as does a time of day alone."""
-    plain = F.regexp_replace(F.trim(text), _NAMED_ZONE, "")
     missing = text.isNull() | (text == "")
-    dated = F.when(~plain.rlike(r"^T?\d{1,2}:"), plain)
-    return F.when(missing, now).otherwise(
-        F.coalesce(dated.try_cast("timestamp"), *(F.try_to_timestamp(dated, F.lit(form)) for form in OTHER_FORMS))
-    )
+    trimmed = F.trim(text)
+    # A name of a zone ends in a capital letter.
+    plain = F.when(trimmed.rlike("[A-Z]$"), F.regexp_replace(trimmed, _NAMED_ZONE, "")).otherwise(trimmed)
+    cast = F.when(plain.rlike(_CASTABLE), plain.try_cast("timestamp"))
+    forms = [F.when(plain.rlike(like), F.try_to_timestamp(plain, F.lit(form))) for form, like in OTHER_FORMS]
+    return F.when(missing, now).otherwise(F.coalesce(cast, *forms))
 
 
 def iso_text(ts: Column) -> Column:
