@@ -228,18 +228,23 @@ _PARSED = f"""parsed AS (
   FROM raw),
 ev AS (SELECT * FROM parsed WHERE us IS NOT NULL)"""
 
-_INDEX = """idx AS (
+_INDEX = """idx AS MATERIALIZED (
   SELECT event_id, us, 'user_id' AS id_key, 2 AS key_order, user_id AS id_value FROM ev WHERE user_id IS NOT NULL
   UNION ALL
   SELECT event_id, us, 'error_code', 3, error_code FROM ev WHERE error_code IS NOT NULL),
 grp AS (
   SELECT id_key, id_value, us AS g_us, event_id AS g_id FROM idx
   QUALIFY row_number() OVER (PARTITION BY id_key, id_value ORDER BY us, event_id) = 1),
-pairs AS (
+numbered AS MATERIALIZED (
+  SELECT event_id, us, us // 300000000 AS tile, id_key, key_order, id_value, dense_rank() OVER (ORDER BY id_key, id_value) AS grp_no,
+    row_number() OVER (ORDER BY us, event_id) AS place
+  FROM idx),
+pairs AS MATERIALIZED (
   SELECT a.event_id AS source_event_id, b.event_id AS target_event_id, a.id_key, a.id_value, a.key_order, a.us
-  FROM (SELECT *, us // 300000000 + unnest([0, 1]) AS tile FROM idx) a
-  JOIN (SELECT *, us // 300000000 AS tile FROM idx) b ON a.id_key = b.id_key AND a.id_value = b.id_value AND a.tile = b.tile
-    AND b.us BETWEEN a.us AND a.us + 300000000 AND (b.us > a.us OR b.event_id > a.event_id))"""
+  FROM numbered a JOIN numbered b ON a.grp_no = b.grp_no AND a.tile = b.tile AND a.place < b.place
+  UNION ALL
+  SELECT a.event_id, b.event_id, a.id_key, a.id_value, a.key_order, a.us
+  FROM numbered a JOIN numbered b ON a.grp_no = b.grp_no AND a.tile + 1 = b.tile AND b.us <= a.us + 300000000)"""
 
 _EDGES = f"""id_edges AS (
   SELECT {sql_hash('source_event_id', 'target_event_id', "'id_match'")} AS edge_id, source_event_id, target_event_id,
