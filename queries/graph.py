@@ -93,7 +93,7 @@ def _edge_components(spark, sf_dir):
     return components.components(events, cut(every_edge(events)))
 
 
-_INCIDENTS = """SELECT component AS incident_id, count(*) AS event_count,
+INCIDENTS = """SELECT component AS incident_id, count(*) AS event_count,
     string_agg(DISTINCT source_system, ',' ORDER BY source_system) AS sources_involved, min(us) AS start_us, max(us) AS end_us
   FROM comp JOIN ev USING (event_id) GROUP BY component"""
 
@@ -108,7 +108,7 @@ def flat_incidents(found):
     )
 
 
-@query("incidents", sql(_INCIDENTS, "components"))
+@query("incidents", sql(INCIDENTS, "components"))
 def _incidents(spark, sf_dir):
     events = stored_events(spark, sf_dir)
     return flat_incidents(incidents.incidents(events, located(events)))
@@ -122,7 +122,7 @@ def _incident_members(spark, sf_dir):
 
 @query(
     "top_incidents",
-    sql(f"SELECT * FROM ({_INCIDENTS}) WHERE sources_involved LIKE '%,%' ORDER BY event_count DESC, incident_id", "components"),
+    sql(f"SELECT * FROM ({INCIDENTS}) WHERE sources_involved LIKE '%,%' ORDER BY event_count DESC, incident_id", "components"),
 )
 def _top_incidents(spark, sf_dir):
     """The incidents that span several systems, the largest first."""
@@ -131,21 +131,22 @@ def _top_incidents(spark, sf_dir):
     return flat_incidents(incidents.ranked_incidents(found))
 
 
-_BIGGEST = "big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)"
+BIGGEST = "big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)"
 
 
-@query(
-    "incident_subgraph",
-    sql(
-        """SELECT 'node' AS kind, event_id AS a, '' AS b FROM comp WHERE component = (SELECT component FROM big)
+SUBGRAPH = """SELECT 'node' AS kind, event_id AS a, '' AS b FROM comp WHERE component = (SELECT component FROM big)
            UNION ALL
            SELECT 'edge', source_event_id, target_event_id FROM id_edges
              WHERE source_event_id IN (SELECT event_id FROM comp WHERE component = (SELECT component FROM big))
-               AND target_event_id IN (SELECT event_id FROM comp WHERE component = (SELECT component FROM big))""",
-        "components",
-        _BIGGEST,
-    ),
-)
+               AND target_event_id IN (SELECT event_id FROM comp WHERE component = (SELECT component FROM big))"""
+
+
+def flat_subgraph(nodes, edges):
+    shown = nodes.select(F.lit("node").alias("kind"), F.col("event_id").alias("a"), F.lit("").alias("b"))
+    return shown.union(edges.select(F.lit("edge"), "source_event_id", "target_event_id"))
+
+
+@query("incident_subgraph", sql(SUBGRAPH, "components", BIGGEST))
 def _incident_subgraph(spark, sf_dir):
     events = stored_events(spark, sf_dir)
     comps = cut(located(events))
@@ -155,8 +156,7 @@ def _incident_subgraph(spark, sf_dir):
     inside = comps.where(F.col("component") == largest).select("event_id")
     own = identifier_links.id_match_edges(identifier_links.id_match_pairs(index.join(inside, "event_id", "left_semi"), tiles))
     nodes, edges = incidents.incident_subgraph(events, own, comps, largest)
-    shown = nodes.select(F.lit("node").alias("kind"), F.col("event_id").alias("a"), F.lit("").alias("b"))
-    return shown.union(edges.select(F.lit("edge"), "source_event_id", "target_event_id"))
+    return flat_subgraph(nodes, edges)
 
 
 @query("graph_counts", sql("SELECT (SELECT count(*) FROM ev) AS n_events, (SELECT count(*) FROM id_edges) AS n_correlations", "edges"))
