@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logbraid.operators.counts import row_counts
+from logbraid.config import CorrelationConfig
+from logbraid.operators.counts import row_counts, stacked_counts
+from logbraid.operators.edge_groups import count_edges
 
 
 def graph_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -62,4 +64,10 @@ def incident_subgraph(
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of a stored graph."""
     return row_counts({"n_events": nodes, "n_correlations": edges})
+
+
+def identifier_graph_counts(events: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
+    """The same for the identifier links of events, which are counted and not made."""
+    return stacked_counts({"n_events": events.agg(F.count(F.lit(1)).alias("n")), "n_correlations": count_edges(events, cfg)})

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logbraid.config import CorrelationConfig
-from logbraid.operators import buckets, components, identifier_links, incidents, links
-from logbraid.operators.counts import row_counts
+from logbraid.operators import buckets, components, edge_groups, identifier_links, incidents, links
+from logbraid.operators.counts import stacked_counts
 from logbraid.session import cut, ensure_utc
 
 
@@ -28,12 +28,14 @@ def all_edges(deterministic: DataFrame, semantic: DataFrame) -> DataFrame:
 
 
 def correlation_stats(events: DataFrame, deterministic: DataFrame, unlinked: DataFrame, semantic: DataFrame) -> DataFrame:
-    counts = row_counts(
+    """`deterministic` has the number of identifier edges as one row with `n` (`edge_groups.count_edges`)."""
+    rows = lambda frame: frame.agg(F.count(F.lit(1)).alias("n"))
+    counts = stacked_counts(
         {
-            "total_events": events,
+            "total_events": rows(events),
             "deterministic_edges": deterministic,
-            "unlinked_after_deterministic": unlinked,
-            "semantic_edges": semantic,
+            "unlinked_after_deterministic": rows(unlinked),
+            "semantic_edges": rows(semantic),
         }
     )
     return counts.withColumn("total_edges", F.col("deterministic_edges") + F.col("semantic_edges"))
@@ -86,6 +88,8 @@ def run_correlation(
         below = spark.createDataFrame([], keys + "bucket_id bigint, chunk_no bigint, source_event_id string, target_event_id string, confidence double")
 
     edges = all_edges(deterministic, semantic)
+    # All identifier edges are counted without making them; some of them are made to be counted.
+    counted = edge_groups.count_edges(events, cfg) if touching is None else deterministic.agg(F.count(F.lit(1)).alias("n"))
     # An event with an identifier link never reaches the scorer, so the two kinds of
     # components are disjoint: those of identifier links come from sessions, without pairs.
     linked = components.session_components(events, members, cfg)
@@ -98,7 +102,7 @@ def run_correlation(
         edges=edges,
         components=linked,
         incidents=incidents.incidents(events, linked),
-        stats=correlation_stats(events, deterministic, unlinked, semantic),
+        stats=correlation_stats(events, counted, unlinked, semantic),
         diagnostics=diagnostics,
         sub_threshold=below,
     )

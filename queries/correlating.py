@@ -4,7 +4,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from logbraid.operators import buckets, identifier_links, links
+from logbraid.operators import buckets, edge_groups, identifier_links, links
 from logbraid.plans.correlate import all_edges, correlation_stats
 from logbraid.session import cut
 from queries.adapter import last_hex, sql, sql_last_hex, stored_events
@@ -188,7 +188,7 @@ def _all_edges(spark, sf_dir):
 )
 def _correlation_stats(spark, sf_dir):
     events = stored_events(spark, sf_dir)
-    return correlation_stats(events, id_edges_of(events), unlinked_of(events), semantic_of(events))
+    return correlation_stats(events, edge_groups.count_edges(events), unlinked_of(events), semantic_of(events))
 
 
 # A scorer for the outcomes of chunks: it links the ends of a chunk, finds nothing in some chunks, and raises on others, by the first event id.

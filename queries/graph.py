@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logbraid.operators import components, identifier_links, incidents, shape, store
+from logbraid.operators import components, edge_groups, identifier_links, incidents, shape, store
 from logbraid.plans.correlate import all_edges
-from logbraid.session import cut
+from logbraid.session import cut, new_folder
 from queries.adapter import last_hex, sql, sql_last_hex, stored_events
 from queries.correlating import id_edges_of, index_and_tiles, members_of, semantic_of
 from queries.registry import query
@@ -161,10 +161,33 @@ def _incident_subgraph(spark, sf_dir):
 
 @query("graph_counts", sql("SELECT (SELECT count(*) FROM ev) AS n_events, (SELECT count(*) FROM id_edges) AS n_correlations", "edges"))
 def _graph_counts(spark, sf_dir):
+    return incidents.identifier_graph_counts(stored_events(spark, sf_dir))
+
+
+@query("stored_graph_counts", sql("SELECT (SELECT count(*) FROM ev) AS n_events, (SELECT count(*) FROM id_edges) AS n_correlations", "edges"))
+def _stored_graph_counts(spark, sf_dir):
+    """Counts of a graph whose edges are there as rows."""
     events = stored_events(spark, sf_dir)
     return incidents.graph_counts(events, id_edges_of(events))
 
 
+@query(
+    "asked_edges",
+    sql(
+        """SELECT * FROM id_edges WHERE source_event_id IN (SELECT event_id FROM ev WHERE level = 'ERROR')
+             OR target_event_id IN (SELECT event_id FROM ev WHERE level = 'ERROR')""",
+        "edges",
+    ),
+)
+def _asked_edges(spark, sf_dir):
+    """The edges of all errors, from the compact store of edge groups, into which all events come twice."""
+    events, folder = stored_events(spark, sf_dir), new_folder(spark)
+    index = identifier_links.identifier_index(events)
+    for _ in range(2):
+        edge_groups.save_groups(index, folder)
+    return edge_groups.edges_of(edge_groups.load_groups(spark, folder), events.where("level = 'ERROR'"))
+
+
 # --- viewer records ---------------------------------------------------------------------
 
 
