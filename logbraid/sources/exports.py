@@ -25,19 +25,21 @@ def message_contains(text: Column, term: str | None) -> Column:
     return text.contains(term) if term else F.lit(True)
 
 
-def _read_json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+def _read_json(spark: SparkSession, path, schema: T.StructType, go_on: bool = False) -> DataFrame:
     """Records of JSON-lines files, with the text of a broken line in `malformed`."""
     with_text = T.StructType([*schema.fields, T.StructField("malformed", T.StringType(), True)])
     reader = spark.read.schema(with_text).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed")
-    # A file that breaks off in the middle is an error, not a shorter file.
-    return reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", False).json(path)
+    if isinstance(path, list) and not path:
+        return spark.createDataFrame([], with_text)
+    # A file that breaks off in the middle is an error, not a shorter file, unless the caller knows of it.
+    return reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", go_on).json(path)
 
 
-def _records(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+def _records(spark: SparkSession, path, schema: T.StructType, go_on: bool = False) -> DataFrame:
     """The lines that are records. The reader must be asked for a field besides the broken text, also where a caller only counts; the
     condition on it always holds."""
     field = F.col(schema.names[0])
-    read = _read_json(spark, path, schema).where(F.col("malformed").isNull() & (field.isNull() | (F.length(field) >= 0)))
+    read = _read_json(spark, path, schema, go_on).where(F.col("malformed").isNull() & (field.isNull() | (F.length(field) >= 0)))
     return read.drop("malformed")
 
 
@@ -87,8 +89,8 @@ def cloudwatch_records(
     )
 
 
-def read_cloudwatch(spark: SparkSession, path, start=None, end=None, groups=None, contains=None, cfg=CorrelationConfig()):
-    export = _records(spark, path, schemas.CLOUDWATCH_EXPORT)
+def read_cloudwatch(spark: SparkSession, path, start=None, end=None, groups=None, contains=None, cfg=CorrelationConfig(), go_on=False):
+    export = _records(spark, path, schemas.CLOUDWATCH_EXPORT, go_on)
     return cloudwatch_records(export, start, end, groups, contains, cfg)
 
 
@@ -126,6 +128,6 @@ def gcp_records(
     )
 
 
-def read_gcp(spark: SparkSession, path, start=None, end=None, where=None, cfg=CorrelationConfig()):
-    export = _records(spark, path, schemas.GCP_EXPORT)
+def read_gcp(spark: SparkSession, path, start=None, end=None, where=None, cfg=CorrelationConfig(), go_on=False):
+    export = _records(spark, path, schemas.GCP_EXPORT, go_on)
     return gcp_records(export, start, end, where, cfg)

@@ -16,17 +16,17 @@ log = logging.getLogger(__name__)
 _LINES = "path string, block bigint, pos bigint, value string"
 
 
-def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_log_lines(spark: SparkSession, paths: str | Sequence[str], go_on: bool = False) -> DataFrame:
     """Lines `(path, block, pos, value)` of all files the paths or globs match.
 
     A large plain file is read as many splits in parallel; `block` is the split's byte offset
     and `pos` grows with the line inside it. A path without a match is reported
     and skipped, and bytes that are not UTF-8 are replaced. A file that breaks off, such as half a gzip file, is
-    an error that names it."""
+    an error that names it, or with `go_on` ends there (see `quarantine` for telling which)."""
     frames = []
     for path in dict.fromkeys([paths] if isinstance(paths, str) else paths):
         try:
-            raw = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", False).text(path)
+            raw = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", go_on).text(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -49,12 +49,12 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
 
 def read_tomcat(
-    spark: SparkSession, paths: str | Sequence[str], cfg: CorrelationConfig = CorrelationConfig()
+    spark: SparkSession, paths: str | Sequence[str], cfg: CorrelationConfig = CorrelationConfig(), go_on: bool = False
 ) -> DataFrame:
-    entries = stitch_tomcat(read_log_lines(spark, paths), max_lines=cfg.max_lines_per_entry)
+    entries = stitch_tomcat(read_log_lines(spark, paths, go_on), max_lines=cfg.max_lines_per_entry)
     # The origin holds path and line range, so it is the record's key already.
     return entries.select("origin", "line", F.lit("").alias("record_key"))
 
 
-def read_postgres_log(spark: SparkSession, paths: str | Sequence[str], name: str) -> DataFrame:
-    return stitch_postgres(read_log_lines(spark, paths), F.lit(name))
+def read_postgres_log(spark: SparkSession, paths: str | Sequence[str], name: str, go_on: bool = False) -> DataFrame:
+    return stitch_postgres(read_log_lines(spark, paths, go_on), F.lit(name))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logbraid.session import new_folder
 from logbraid.sources import read_cloudwatch, read_gcp, read_postgres_log, read_tomcat
+from logbraid.sources.quarantine import list_files, read_tolerant
 from queries.adapter import base, sql
 from queries.registry import query
 
@@ -80,3 +81,29 @@ def _read_postgres_files(spark, sf_dir):
     )
     base(spark, sf_dir).select(F.concat(head, F.lit("\n\tline "), _number()).alias("value")).write.text(folder)
     return read_postgres_log(spark, folder, "app").select("timestamp", "level", "pid", "message")
+
+
+@query(
+    "quarantined_files",
+    sql(
+        """SELECT 'record' AS kind, body AS message, CAST(n AS VARCHAR) AS record_key FROM base
+           UNION ALL SELECT 'quarantine', 'EOFError: the file ends inside a compressed block', 'half'""",
+        "base",
+    ),
+)
+def _quarantined_files(spark, sf_dir):
+    """Packed exports of the table beside half a file: all good records and one row for the broken file."""
+    import pyarrow.fs
+
+    folder = new_folder(spark)
+    base(spark, sf_dir).select(
+        F.lit("g").alias("logGroupName"), F.lit("s").alias("logStreamName"), F.unix_millis("ts").alias("timestamp"), F.col("body").alias("message"), _number().alias("eventId")
+    ).write.option("compression", "gzip").json(folder)
+    files, path = pyarrow.fs.FileSystem.from_uri(max(list_files(spark, [folder])).replace("file:/", "file:///").replace("file://////", "file:///"))
+    with files.open_input_stream(path, compression=None) as source:
+        data = source.read()
+    with files.open_output_stream(path.rpartition("/")[0] + "/half.json.gz", compression=None) as half:
+        half.write(data[: len(data) // 2])
+    records, aside = read_tolerant(spark, folder, lambda paths, go_on: read_cloudwatch(spark, paths, go_on=go_on))
+    name = F.regexp_extract("path", r"([^/]*)\.json\.gz$", 1)
+    return records.select(F.lit("record").alias("kind"), "message", "record_key").union(aside.select(F.lit("quarantine"), "reason", name))

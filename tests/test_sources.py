@@ -246,3 +246,49 @@ def test_ranking(spark):
     assert rows(got, "k", "id") == sorted(((k, i) for k, ids in brute.items() for i in ids[:5]), key=repr)
     placed = position_in_group(df, ["k"], ["v", "id"], "p", 10)
     assert rows(placed, "k", "p", "id") == sorted(((k, p, i) for k, ids in brute.items() for p, i in enumerate(ids)), key=repr)
+
+
+def broken_gzip(path, text, share=0.5):
+    data = gzip.compress(text.encode())
+    path.write_bytes(data[: int(len(data) * share)])
+
+
+def test_broken_files_are_put_aside(spark, tmp_path):
+    import os
+    import random
+
+    from logbraid.sources.quarantine import read_tolerant
+
+    rng = random.Random(3)
+    lines = [f"2026-02-17 08:30:{i % 60:02d} INFO [t] request_id=ck-{rng.random()}" for i in range(4000)]
+    (tmp_path / "good.log.gz").write_bytes(gzip.compress("\n".join(lines[:50]).encode()))
+    (tmp_path / "two.log.gz").write_bytes(gzip.compress(b"2026-02-17 09:00:00 a\n") + gzip.compress(b"2026-02-17 09:00:01 b\n"))
+    (tmp_path / "plain.log").write_text("2026-02-17 10:00:00 plain\n")
+    (tmp_path / "empty.log").write_text("")
+    broken_gzip(tmp_path / "half.log.gz", "\n".join(lines))
+    (tmp_path / "noise.log.gz").write_bytes(b"no gzip at all")
+    read = lambda files, go_on: sources.read_tomcat(spark, files, go_on=go_on)
+    good, aside = read_tolerant(spark, [f"{tmp_path}/*.log*", f"{tmp_path}/none*"], read)
+    assert len(rows(good)) == 50 + 2 + 1
+    found = {os.path.basename(r.path): r for r in aside.collect()}
+    assert set(found) == {"half.log.gz", "noise.log.gz"}
+    assert found["half.log.gz"].offset > 0 and "ends inside" in found["half.log.gz"].reason and found["noise.log.gz"].offset == 0
+    more, _ = read_tolerant(spark, f"{tmp_path}/*.log*", read, parts=True)
+    whole = "\n".join(lines).encode()[: found["half.log.gz"].offset].count(b"\n")
+    # The reader hands on what it had unpacked before the break, in whole lines.
+    assert 53 < len(rows(more)) <= 53 + whole
+    nothing, aside = read_tolerant(spark, f"{tmp_path}/none*", read)
+    assert nothing.count() == aside.count() == 0
+
+
+def test_a_batch_goes_on_after_broken_files(spark, tmp_path):
+    from logbraid.plans import run_batch
+    from logbraid.sources.quarantine import read_tolerant
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "good.log").write_text(TRACE)
+    broken_gzip(tmp_path / "in" / "half.log.gz", TRACE * 50)
+    reader = lambda: read_tolerant(spark, f"{tmp_path}/in/*", lambda files, go_on: sources.read_tomcat(spark, files, go_on=go_on))
+    run = run_batch(spark, {"tomcat": reader}, f"{tmp_path}/events", f"{tmp_path}/edges", use_scorer=False)
+    assert spark.read.parquet(f"{tmp_path}/events").count() == 2
+    assert [(r.source, r.path.endswith("half.log.gz")) for r in run.quarantine.collect()] == [("tomcat", True)]
