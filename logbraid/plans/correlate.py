@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logbraid.config import CorrelationConfig
 from logbraid.operators import buckets, components, edge_groups, identifier_links, incidents, links
 from logbraid.operators.counts import stacked_counts
+from logbraid.operators.scorer_memory import score_chunks_once
 from logbraid.session import cut, ensure_utc
 
 
@@ -49,10 +50,11 @@ def run_correlation(
     by: tuple[str, ...] = (),
     asks: DataFrame | None = None,
     touching: DataFrame | None = None,
+    memory: str | None = None,
 ) -> CorrelationResult:
     """Correlates a table of log events. `events` is scanned several times, each time for a few columns: hand over a stored table
     (`store.load_events`), not a chain of parsers. Without a `scorer`, the built-in word
-    overlap proposes links.
+    overlap proposes links. With `memory`, a shared folder, a scorer is asked once about a chunk (see `scorer_memory`).
 
     With `touching` (event_id), only identifier edges with one of these events are made; components and incidents stay whole.
     With `asks`, the scorer sees only events whose `by` columns are in it. With `by`, events of different values of those columns are never compared. Event ids and
@@ -75,7 +77,11 @@ def run_correlation(
             raw = cut(links.lexical_links(chunked, by))
             errors = chunked.select(*by, *links.CHUNK).limit(0)
         else:
-            raw, errors = links.split_scored(cut(links.score_chunks(chunked, scorer, by)))
+            if memory is None:
+                scored = cut(links.score_chunks(chunked, scorer, by))
+            else:
+                scored = score_chunks_once(chunked, scorer, memory, by)
+            raw, errors = links.split_scored(scored)
         good = links.confident_links(links.validated_links(raw, chunked, by), cfg)
         semantic = links.link_edges(good, chunked, by).select(*deterministic.columns)
         diagnostics = links.stage_diagnostics(summary, chunked, raw, errors, by)

@@ -5,8 +5,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from logbraid.operators import buckets, edge_groups, identifier_links, links
+from logbraid.operators.scorer_memory import score_chunks_once
 from logbraid.plans.correlate import all_edges, correlation_stats
-from logbraid.session import cut
+from logbraid.session import cut, new_folder
 from queries.adapter import last_hex, sql, sql_last_hex, stored_events
 from queries.registry import query
 
@@ -53,6 +54,21 @@ def bad_proposals(lexical):
     return lexical.withColumn("target_event_id", target)
 
 
+# A scorer for the outcomes of chunks: it links the ends of a chunk, finds nothing in some chunks, and raises on others, by the first event id.
+_ENDS = f"""ends AS (
+  SELECT bucket_id, chunk_no, count(*) AS n_events, min(event_id) AS low,
+    CASE WHEN {sql_last_hex('min(event_id)', '0123')} THEN 'failed' WHEN {sql_last_hex('min(event_id)', '4567')} THEN 'empty_result' ELSE 'links' END AS outcome
+  FROM chunked GROUP BY bucket_id, chunk_no)"""
+
+
+def moody(events: pd.DataFrame) -> pd.DataFrame:
+    low = events.event_id.min()
+    if low[-1] in "0123":
+        raise ValueError("no answer")
+    ends = pd.DataFrame({"source_event_id": [low], "target_event_id": [events.event_id.max()], "confidence": [0.9]})
+    return ends.head(0 if low[-1] in "4567" else 1)
+
+
 @query("identifier_index", sql("SELECT event_id, us AS ts_us, id_key, id_value FROM idx", "index"))
 def _identifier_index(spark, sf_dir):
     index = identifier_links.identifier_index(stored_events(spark, sf_dir))
@@ -141,6 +157,19 @@ def _score_chunks(spark, sf_dir):
     return scored.select("bucket_id", "chunk_no", "source_event_id", "target_event_id")
 
 
+@query(
+    "score_chunks_once",
+    sql("SELECT bucket_id, chunk_no, outcome, CASE WHEN outcome = 'links' THEN low END AS source_event_id FROM ends WHERE outcome <> 'empty_result'", "chunks", _ENDS),
+)
+def _score_chunks_once(spark, sf_dir):
+    """The same chunks scored in two runs with one memory: the second asks only about those that failed."""
+    chunked, folder = cut(chunks_of(stored_events(spark, sf_dir))[2]), new_folder(spark)
+    for _ in range(2):
+        scored = score_chunks_once(chunked, moody, folder)
+    outcome = F.when(F.col("error").isNull(), "links").otherwise("failed")
+    return scored.select("bucket_id", "chunk_no", outcome.alias("outcome"), "source_event_id")
+
+
 @query(
     "validate_links",
     sql(
@@ -191,21 +220,6 @@ def _correlation_stats(spark, sf_dir):
     return correlation_stats(events, edge_groups.count_edges(events), unlinked_of(events), semantic_of(events))
 
 
-# A scorer for the outcomes of chunks: it links the ends of a chunk, finds nothing in some chunks, and raises on others, by the first event id.
-_ENDS = f"""ends AS (
-  SELECT bucket_id, chunk_no, count(*) AS n_events, min(event_id) AS low,
-    CASE WHEN {sql_last_hex('min(event_id)', '0123')} THEN 'failed' WHEN {sql_last_hex('min(event_id)', '4567')} THEN 'empty_result' ELSE 'links' END AS outcome
-  FROM chunked GROUP BY bucket_id, chunk_no)"""
-
-
-def moody(events: pd.DataFrame) -> pd.DataFrame:
-    low = events.event_id.min()
-    if low[-1] in "0123":
-        raise ValueError("no answer")
-    ends = pd.DataFrame({"source_event_id": [low], "target_event_id": [events.event_id.max()], "confidence": [0.9]})
-    return ends.head(0 if low[-1] in "4567" else 1)
-
-
 @query(
     "stage_diagnostics",
     sql(

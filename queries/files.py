@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logbraid.files import file_system
 from logbraid.session import new_folder
 from logbraid.sources import read_cloudwatch, read_gcp, read_postgres_log, read_tomcat
 from logbraid.sources.quarantine import list_files, read_tolerant
@@ -93,13 +94,11 @@ def _read_postgres_files(spark, sf_dir):
 )
 def _quarantined_files(spark, sf_dir):
     """Packed exports of the table beside half a file: all good records and one row for the broken file."""
-    import pyarrow.fs
-
     folder = new_folder(spark)
     base(spark, sf_dir).select(
         F.lit("g").alias("logGroupName"), F.lit("s").alias("logStreamName"), F.unix_millis("ts").alias("timestamp"), F.col("body").alias("message"), _number().alias("eventId")
     ).write.option("compression", "gzip").json(folder)
-    files, path = pyarrow.fs.FileSystem.from_uri(max(list_files(spark, [folder])).replace("file:/", "file:///").replace("file://////", "file:///"))
+    files, path = file_system(max(list_files(spark, [folder])))
     with files.open_input_stream(path, compression=None) as source:
         data = source.read()
     with files.open_output_stream(path.rpartition("/")[0] + "/half.json.gz", compression=None) as half:
