@@ -18,7 +18,7 @@ from logbraid.config import ID_MATCH, SEMANTIC_SIMILARITY, CorrelationConfig
 from logbraid.functions.identifiers import extract_identifiers
 from logbraid.functions.times import floor_tile
 from logbraid.operators.counts import row_counts
-from logbraid.session import broadcast_within
+from logbraid.session import broadcast_within, cut
 
 # Words allowed in labelled cases.
 OUTCOME_CLASSES = ("positive-control", "value", "documented-limitation")
@@ -159,17 +159,53 @@ def isolated(events: DataFrame) -> DataFrame:
 # --- anchors ----------------------------------------------------------------------------
 
 
+#: Characters of a gram. Shorter selectors are compared with each event of their case and source.
+GRAM = 6
+
+
+def _grams(text: Column) -> Column:
+    """The distinct grams of a text; a shorter one has none."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - (GRAM - 1))
+    found = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(GRAM))))
+    return F.when(F.char_length(text) >= GRAM, found)
+
+
+def _selector_hits(events: DataFrame, steps: DataFrame, cfg: CorrelationConfig) -> DataFrame:
+    """(case_id, step_id, event_id): events of a step's case and source that contain its text.
+
+    A selector is looked up by one of its grams, that which the fewest messages hold, in the grams of the messages: an equi-join, so events only
+    meet selectors with which they share that gram. What `contains` says decides."""
+    named = steps.select("case_id", "source_system", "step_id", "message_contains").where("message_contains is not null")
+    long = named.where(F.char_length("message_contains") >= GRAM)
+    own = long.select("case_id", "source_system", "step_id", F.explode(_grams(F.col("message_contains"))).alias("gram"))
+    texts = events.select("case_id", "source_system", "event_id", "message")
+    held = texts.select(F.explode(_grams(F.col("message"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    wanted = broadcast_within(own.select("gram").distinct(), cfg.broadcast_rows)
+    counted = own.join(held.join(wanted, "gram", "left_semi"), "gram", "left")
+    # A gram that no message holds settles its selector.
+    rarest = cut(
+        counted.groupBy("case_id", "source_system", "step_id")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+        .where("g.n > 0")
+        .select("case_id", "source_system", "step_id", F.col("g.gram").alias("gram"))
+    )
+    found = (
+        texts.select("case_id", "source_system", "event_id", F.explode(_grams(F.col("message"))).alias("gram"))
+        .join(broadcast_within(rarest, cfg.broadcast_rows), ["case_id", "source_system", "gram"])
+        .select("case_id", "step_id", "event_id")
+    )
+    found = found.join(texts.drop("source_system"), ["case_id", "event_id"]).join(
+        broadcast_within(long.select("case_id", "step_id", "message_contains"), cfg.broadcast_rows), ["case_id", "step_id"]
+    )
+    short = broadcast_within(named.where(F.char_length("message_contains") < GRAM), cfg.broadcast_rows)
+    found = found.unionByName(texts.join(short, ["case_id", "source_system"]), allowMissingColumns=True)
+    return found.where(F.col("message").contains(F.col("message_contains"))).select("case_id", "step_id", "event_id")
+
+
 def resolve_anchors(events: DataFrame, steps: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     """Per step: how many events of its source contain its text, and that event if it is exactly
-    one. The few selectors are broadcast within their bound; the matches are reduced where they are found."""
-    selectors = broadcast_within(steps, cfg.broadcast_rows)
-    hits = (
-        events.select("case_id", "source_system", "event_id", "message")
-        .join(selectors, ["case_id", "source_system"])
-        .where(F.col("message").contains(F.col("message_contains")))
-        .groupBy("case_id", "step_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("hit"))
-    )
+    one. The matches are reduced where they are found."""
+    hits = _selector_hits(events, steps, cfg).groupBy("case_id", "step_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("hit"))
     matched = steps.join(hits, ["case_id", "step_id"], "left").withColumn("n_matches", F.coalesce("n", F.lit(0)).cast("bigint"))
     return matched.select(
         "case_id", "step_no", "step_id", "n_matches", F.when(F.col("n_matches") == 1, F.col("hit")).alias("event_id")
