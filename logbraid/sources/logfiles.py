@@ -49,12 +49,13 @@ def read_log_lines(spark: SparkSession, paths: str | Sequence[str], go_on: bool
 
 
 def read_tomcat(
-    spark: SparkSession, paths: str | Sequence[str], cfg: CorrelationConfig = CorrelationConfig(), go_on: bool = False
+    spark: SparkSession, paths: str | Sequence[str], cfg: CorrelationConfig = CorrelationConfig(), go_on: bool = False, part_lines: int | None = None
 ) -> DataFrame:
-    entries = stitch_tomcat(read_log_lines(spark, paths, go_on), max_lines=cfg.max_lines_per_entry)
+    """Entries of server logs. With `part_lines`, an entry of more lines becomes several records."""
+    entries = stitch_tomcat(read_log_lines(spark, paths, go_on), max_lines=cfg.max_lines_per_entry, part_lines=part_lines)
     # The origin holds path and line range, so it is the record's key already.
     return entries.select("origin", "line", F.lit("").alias("record_key"))
 
 
-def read_postgres_log(spark: SparkSession, paths: str | Sequence[str], name: str, go_on: bool = False) -> DataFrame:
-    return stitch_postgres(read_log_lines(spark, paths, go_on), F.lit(name))
+def read_postgres_log(spark: SparkSession, paths: str | Sequence[str], name: str, go_on: bool = False, part_lines: int | None = None) -> DataFrame:
+    return stitch_postgres(read_log_lines(spark, paths, go_on), F.lit(name), part_lines)

@@ -292,3 +292,9 @@ def test_a_batch_goes_on_after_broken_files(spark, tmp_path):
     run = run_batch(spark, {"tomcat": reader}, f"{tmp_path}/events", f"{tmp_path}/edges", use_scorer=False)
     assert spark.read.parquet(f"{tmp_path}/events").count() == 2
     assert [(r.source, r.path.endswith("half.log.gz")) for r in run.quarantine.collect()] == [("tomcat", True)]
+
+
+def test_lines_are_sorted_once(spark, tmp_path):
+    (tmp_path / "catalina.out").write_text(TRACE)
+    plan = sources.read_tomcat(spark, str(tmp_path / "catalina.out"))._jdf.queryExecution().sparkPlan().toString()
+    assert sum("Window [" in line and "pos#" in line for line in plan.splitlines()) == 1
