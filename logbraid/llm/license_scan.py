@@ -148,8 +148,10 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, per
     A place is a run of the template's shingles without gaps of more than half the template, given in words of the text. The bound on missed
     matches holds for places as long as the template; longer ones have more windows, but each with a part. A template of fewer words counts as one shingle, which only an equal text
     has. Null and empty texts match nothing; repeated rows match each by itself; a null doc_id stays null; empty tables and empty
-    templates give no rows; other columns are ignored.
+    templates give no rows; other columns are ignored. The bands are made for 80 % and more; a smaller `percent` is refused.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must lie between 80 and 100")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(
         _map_scan(dict(templates), percent), "doc_id long, license string, start_word long, end_word long, containment double"

@@ -21,6 +21,8 @@ from logbraid.llm.shingles import LOWER, words_of
 from logbraid.session import new_folder
 
 FEATURES, SCALE, RIDGE, SEED = 256, 0.25, 1e-3, 20240501
+#: Of the rows to learn from, this share calibrates the scores instead of being fitted.
+CALIBRATE_ONE_IN = 5
 BINS = 1_000
 #: Sums of one row of the system meet in so many parts first.
 PARTS = 64
@@ -153,14 +155,18 @@ def pool_adjacent(weight: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), g / w) for w, g, n in blocks])
 
 
-def fit(train: DataFrame) -> Model:
-    """A model of train(x, y). With no row it scores 0.5; with one class only, its share."""
+def fit(train: DataFrame, calibrate: DataFrame) -> Model:
+    """A model of train(x, y), calibrated on the rows of calibrate(x, y), which it has not seen. If either has no row, the other stands for both;
+    with no row at all it scores 0.5; with one class only, its share."""
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
         x = _matrix(batch)
         return np.stack([np.full(N_STATISTICS, len(x), float), x.sum(axis=0), (x**2).sum(axis=0)])
 
     count, total, squares = _sums(train, moments, 3, N_STATISTICS)
+    if count[0] == 0:
+        train = calibrate
+        count, total, squares = _sums(train, moments, 3, N_STATISTICS)
     n = count[0]
     if n == 0:
         return Model(np.zeros(N_STATISTICS), np.ones(N_STATISTICS))
@@ -181,7 +187,9 @@ def fit(train: DataFrame) -> Model:
         at = np.minimum((model.raw(_matrix(batch)) * BINS).astype(int), BINS - 1)
         return np.stack([np.bincount(at, minlength=BINS).astype(float), np.bincount(at, batch.column("y").to_numpy(), minlength=BINS)])
 
-    weight, good = _sums(train, bins, 2, BINS)
+    weight, good = _sums(calibrate, bins, 2, BINS)
+    if not weight.any():
+        weight, good = _sums(train, bins, 2, BINS)
     used = weight > 0
     model.at, model.share = (np.flatnonzero(used) + 0.5) / BINS, pool_adjacent(weight[used], good[used])
     return model
@@ -190,7 +198,8 @@ def fit(train: DataFrame) -> Model:
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text), learned from labels(doc_id, quality).
 
-    Labels of rows where the condition `held_out` on doc_id holds are not learned from. score lies in 0 to 1 and estimates the
+    Labels of rows where the condition `held_out` on doc_id holds are not learned from. Of the others, one in CALIBRATE_ONE_IN, by a hash of doc_id, is
+    kept out of the fit and calibrates it. score lies in 0 to 1 and estimates the
     chance of quality 1; predicted is 1 from `threshold` on. A null or empty text is scored by its statistics, all
     zero. Null labels are left out; a doc_id with several labels counts with their mean; labels without a document are ignored, and a document given several times is
     learned as often. Without labels every score is 0.5. Rows come out as often as they come in, null doc_ids too (not held out). Other columns are ignored.
@@ -201,7 +210,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, thresho
     texts.mapInArrow(_map_statistics, "doc_id long, x array<double>").write.parquet(folder)
     rows = spark.read.parquet(folder).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     marks = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").cast("double").alias("y"))
-    model = fit(rows.where("not held_out").join(marks, "doc_id").select("x", "y"))
+    learned = rows.where("not held_out").join(marks, "doc_id")
+    fold = F.pmod(F.crc32(F.concat(F.lit("calibrate "), F.col("doc_id").cast("string"))), F.lit(CALIBRATE_ONE_IN)) == 0
+    model = fit(learned.where(~fold).select("x", "y"), learned.where(fold).select("x", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -303,6 +303,38 @@ def test_quality_scores_without_labels(spark):
     assert quality_scores(frame(spark).where("false"), labels, F.lit(False)).collect() == []
 
 
+def test_fit_equals_a_direct_solution(spark):
+    from logbraid.llm import quality_classifier as q
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, [1, 50] + [3] * (q.N_STATISTICS - 2), (900, q.N_STATISTICS))
+    y = (x[:, 0] + 0.02 * x[:, 1] + rng.normal(0, 0.5, len(x)) > 0).astype(float)
+    table = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))], "i long, x array<double>, y double").repartition(5)
+    model = q.fit(table.where("i % 3 > 0").select("x", "y"), table.where("i % 3 = 0").select("x", "y"))
+    one, two = np.arange(len(x)) % 3 > 0, np.arange(len(x)) % 3 == 0
+    assert np.allclose(model.mean, x[one].mean(0)) and np.allclose(model.spread, x[one].std(0))
+    z = model.features(x[one])
+    penalty = q.RIDGE * one.sum() * np.eye(q.FEATURES + 1)
+    penalty[0, 0] = 0
+    # The whole matrix at once: least squares with the penalty as further rows.
+    whole = np.concatenate([z, np.sqrt(penalty + 1e-9 * np.eye(q.FEATURES + 1))])
+    direct = np.linalg.lstsq(whole, np.concatenate([y[one], np.zeros(q.FEATURES + 1)]), rcond=None)[0]
+    assert np.abs(z @ (model.weights - direct)).max() < 1e-6
+    # Calibration by its definition: the greatest least mean of bins around each bin, on rows that were not fitted.
+    at = np.minimum((model.raw(x[two]) * q.BINS).astype(int), q.BINS - 1)
+    used = np.unique(at)
+    good, weight = np.array([y[two][at == b].sum() for b in used]), np.array([(at == b).sum() for b in used])
+    share = [max(min(good[a : b + 1].sum() / weight[a : b + 1].sum() for b in range(i, len(used))) for a in range(i + 1)) for i in range(len(used))]
+    assert np.allclose(model.at, (used + 0.5) / q.BINS) and np.allclose(model.share, share)
+
+
+def test_bands_are_made_for_eighty_percent(spark):
+    from logbraid.llm.license_scan import scan_licenses
+
+    with pytest.raises(ValueError, match="80"):
+        scan_licenses(frame(spark), percent=79)
+
+
 def test_pooling_is_monotone():
     from logbraid.llm.quality_classifier import pool_adjacent
 
