@@ -110,3 +110,8 @@ def test_batch_run(spark, tmp_path):
         assert rows(run.incidents, "event_count") == [(2,), (2,)]
         assert store.load_events(spark, where[0]).count() == 4
         assert rows(store.load_edges(spark, where[1]), "relation_type") == [("id_match",), ("semantic_similarity",)]
+
+
+def test_lengths_of_titles_and_labels(events):
+    node = shape.shape_nodes(events([("a", 0, {}, "tomcat", "x" * 300)]), 10, 20).first()
+    assert node["label"] == "tomcat\n" + "x" * 10 and node["title"].endswith("<br><b>message:</b> " + "x" * 10) and node["raw"]["message"] == "x" * 300
