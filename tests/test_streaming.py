@@ -1,12 +1,16 @@
 import json
+import random
 
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
 from logbraid import schemas
+from logbraid.config import CorrelationConfig
 from logbraid.operators import identifier_links as il
 from logbraid.operators import normalize as norm
-from logbraid.streaming import ingest_events, stream_id_pairs
+from logbraid.streaming import hot_values, ingest_events, ingest_id_pairs, load_pairs, stream_id_pairs
+from logbraid.streaming.pair_store import add_batch
 
 START = 1_785_758_400_000
 
@@ -63,3 +67,54 @@ def test_pairs_equal_batch(spark, tmp_path):
     columns = ["source_event_id", "target_event_id", "id_key", "id_value"]
     assert rows(spark.table("pairs"), *columns) == rows(batch, *columns)
     assert batch.count() == 6
+
+
+PAIR = ["source_event_id", "target_event_id", "id_key", "id_value"]
+
+
+def batch_pairs(events, cfg=CorrelationConfig()):
+    index = il.identifier_index(events, cfg)
+    return rows(il.id_match_pairs(index, il.identifier_tiles(index, cfg), cfg), *PAIR)
+
+
+def test_hot_values_are_split_in_the_state(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    export(tmp_path / "in" / "1.json", [(str(i), i * 7, "user_id=hot1" if i % 4 else "user_id=cold") for i in range(60)])
+    cfg = CorrelationConfig(rows_per_cell=10)
+    batch = shaped(spark.read.schema(schemas.CLOUDWATCH_EXPORT).json(str(tmp_path / "in")))
+    hot = hot_values(il.identifier_index(batch, cfg), cfg)
+    assert [(r.id_value, r.parts > 2) for r in hot.where("parts > 2").collect()] == [("hot1", True)]
+    stream = shaped(spark.readStream.schema(schemas.CLOUDWATCH_EXPORT).json(str(tmp_path / "in")))
+    pairs = stream_id_pairs(stream, cfg, hot=hot)
+    sink = pairs.writeStream.format("memory").queryName("hot_pairs").outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.table("hot_pairs"), *PAIR) == batch_pairs(batch)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pairs_of_batches_equal_one_run(spark, events, tmp_path, seed):
+    """Rows in any order, copies, several keys, rows without identifiers, across midnight; hot values in cells; a batch that is run again."""
+    rng = random.Random(seed)
+    cfg = CorrelationConfig(rows_per_cell=7)
+    base = [
+        (f"e{i:03d}", rng.choice([0, 600, 43_000]) + rng.randint(0, 900), {k: rng.choice("xxy") for k in ("user_id", "error_code") if rng.random() < 0.7})
+        for i in range(90)
+    ]
+    path, step = str(tmp_path / "store"), 0
+    for step, start in enumerate(range(0, 90, 30)):
+        part = base[start : start + 30] + rng.sample(base[: start + 30], 5)
+        add_batch(events(part), step, path, cfg)
+        if step == 1:
+            add_batch(events(part), step, path, cfg)
+    add_batch(events(base).where("false"), step + 1, path, cfg)
+    assert rows(load_pairs(spark, path), *PAIR) == batch_pairs(events(base), cfg)
+
+
+def test_a_stream_of_late_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = lambda: shaped(spark.readStream.schema(schemas.CLOUDWATCH_EXPORT).json(str(tmp_path / "in")))
+    for name, first in (("1", 10), ("2", 0), ("3", 10)):
+        export(tmp_path / "in" / f"{name}.json", [(str(i), i * 100, f"user_id=u{i % 2}aa") for i in range(first, first + 10)])
+        ingest_id_pairs(stream(), str(tmp_path / "store")).awaitTermination()
+    batch = shaped(spark.read.schema(schemas.CLOUDWATCH_EXPORT).json(str(tmp_path / "in"))).dropDuplicates(["event_id"])
+    assert rows(load_pairs(spark, str(tmp_path / "store")), *PAIR) == batch_pairs(batch)
