@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logbraid.config import CorrelationConfig
@@ -141,13 +141,34 @@ def ordered(events: DataFrame) -> DataFrame:
     return events.orderBy("ts", "event_id")
 
 
-def normalize_stats(events: DataFrame, start=None, end=None) -> DataFrame:
-    """Per source: raw records, and those that became events of the window."""
+def _kept(start, end) -> Column:
     kept = F.col("ts").isNotNull()
     if start is not None:
         kept &= F.col("ts") >= _moment(start)
     if end is not None:
         kept &= F.col("ts") < _moment(end)
+    return kept
+
+
+def normalize_stats(events: DataFrame, start=None, end=None) -> DataFrame:
+    """Per source: raw records, and those that became events of the window."""
     return events.groupBy("source_system").agg(
-        F.count(F.lit(1)).alias("raw_records"), F.count_if(kept).alias("normalized")
+        F.count(F.lit(1)).alias("raw_records"), F.count_if(_kept(start, end)).alias("normalized")
     )
+
+
+def counted(events: DataFrame, observation: Observation, start=None, end=None) -> DataFrame:
+    """`events` as they are, with the counts of `normalize_stats` made on the way when they are written. They are exact if no shuffle lies between
+    here and the write: a map task that runs again after a lost executor would count its rows again, a task that writes counts once."""
+    metrics = []
+    for source in SHAPES:
+        own = F.col("source_system") == source
+        metrics += [F.count_if(own).alias(f"{source}/raw"), F.count_if(own & _kept(start, end)).alias(f"{source}/kept")]
+    return events.observe(observation, *metrics)
+
+
+def observed_stats(spark: SparkSession, observation: Observation) -> DataFrame:
+    """The rows of `normalize_stats` after the write of what `counted` gave."""
+    counts = observation.get
+    rows = [(source, counts.get(f"{source}/raw", 0), counts.get(f"{source}/kept", 0)) for source in SHAPES]
+    return spark.createDataFrame([row for row in rows if row[1]], "source_system string, raw_records bigint, normalized bigint")

@@ -108,6 +108,7 @@ def test_batch_run(spark, tmp_path):
         run = run_batch(spark, readers, *where, datetime(2026, 8, 4, 12), datetime(2026, 8, 4, 13))
         assert rows(run.stats) == [(4, 1, 2, 1, 2)]
         assert rows(run.incidents, "event_count") == [(2,), (2,)]
+        assert rows(run.read_stats) == [("postgres", 2, 2), ("tomcat", 3, 2)]
         assert store.load_events(spark, where[0]).count() == 4
         assert rows(store.load_edges(spark, where[1]), "relation_type") == [("id_match",), ("semantic_similarity",)]
 
@@ -115,3 +116,15 @@ def test_batch_run(spark, tmp_path):
 def test_lengths_of_titles_and_labels(events):
     node = shape.shape_nodes(events([("a", 0, {}, "tomcat", "x" * 300)]), 10, 20).first()
     assert node["label"] == "tomcat\n" + "x" * 10 and node["title"].endswith("<br><b>message:</b> " + "x" * 10) and node["raw"]["message"] == "x" * 300
+
+
+def test_counts_of_records_without_time_and_of_an_empty_source(spark, tmp_path):
+    from logbraid.plans import run_batch
+    from logbraid.schemas import RAW_MYSQL
+
+    data = [("db", "2026-08-04 12:00:00", "Note", "a", None, None, "1"), ("db", "no time", "Note", "b", None, None, "2")]
+    raw = spark.createDataFrame(data, RAW_MYSQL)
+    run = run_batch(spark, {"mysql": lambda: raw}, str(tmp_path / "a"), str(tmp_path / "b"), use_scorer=False)
+    assert rows(run.read_stats) == [("mysql", 2, 1)] and store.load_events(spark, str(tmp_path / "a")).count() == 1
+    run = run_batch(spark, {"mysql": lambda: raw.limit(0)}, str(tmp_path / "a"), str(tmp_path / "b"), use_scorer=False)
+    assert rows(run.read_stats) == [] and store.load_events(spark, str(tmp_path / "a")).count() == 1
