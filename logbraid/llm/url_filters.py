@@ -4,6 +4,9 @@ Level 0 of the cascade encodes the listed keys. Level 1 encodes the unlisted key
 mistake, level 2 the listed keys that pass level 1 by mistake, and so on until no mistake is left. A key of the universe
 is listed if the first level that it fails is odd. So membership is exact for all keys of the universe, and pages need no join:
 the filters are literals of bounded size in the plan.
+
+More keys than one cascade is to hold are dealt by hash to several. These are built together, level by level, stay on the executors as one row per
+cascade and level, and judge all pages in one pass: each level is broadcast, up to a bound of its bytes.
 """
 from __future__ import annotations
 
@@ -22,6 +25,8 @@ BITS_PER_KEY, HASHES = 10, 5
 BITS = 7
 #: Keys that one filter is to hold; more are split by hash into several cascades, each of which judges its own pages.
 MAX_KEYS = 1_000_000
+#: Bytes of one level of all cascades that are broadcast; a larger level is joined by shuffling the keys by cascade.
+MAX_BROADCAST = 256 << 20
 #: Bytes of a filter that come to the driver as one row.
 BLOCK = 4096
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -111,6 +116,65 @@ def member(key: Column, levels: list[tuple[bytes, int]]) -> Column:
     return out
 
 
+def _level(keys: DataFrame, level: int, shards: int, count: int) -> tuple[DataFrame, int]:
+    """(shard, words array<long>), one row per cascade, of `keys`(key, shard), of which no cascade has more than `count`; and the bits of each filter."""
+    n_words = max(1, -(-count * BITS_PER_KEY // 64))
+    size = 64 * n_words
+    ones = keys.select("shard", F.explode(F.array(*_bits(F.col("key"), level, size))).alias("bit")).select(
+        (F.col("shard") * n_words + F.expr("bit div 64")).alias("at"),
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("bit", F.lit(64)).cast("int")).alias("bits"),
+    )
+    every = keys.sparkSession.range(shards * n_words).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("bits"))
+    words = ones.union(every).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    in_order = F.array_sort(F.collect_list(F.struct("at", "bits")))["bits"]
+    return cut(words.groupBy(F.expr(f"at div {n_words}").alias("shard")).agg(in_order.alias("words"))), size
+
+
+def _passes_level(key: Column, words: Column, level: int, size: int) -> Column:
+    tests = []
+    for bit in _bits(key, level, size):
+        inside = F.pmod(bit, F.lit(64))
+        word = F.get(words, ((bit - inside) / 64).cast("int"))
+        tests.append(F.call_function("shiftright", word, inside.cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _with_level(rows: DataFrame, level: int, built: tuple[DataFrame, int], shards: int) -> DataFrame:
+    """Adds `f{level}`, the filter of the row's cascade on that level."""
+    words, size = built
+    words = words.withColumnRenamed("words", f"f{level}")
+    return rows.join(F.broadcast(words) if shards * size // 8 <= MAX_BROADCAST else words, "shard")
+
+
+def cascades(universe: DataFrame, shards: int) -> list[tuple[DataFrame, int]]:
+    """The levels of `shards` cascades for universe(key, listed, shard), whose keys are distinct. A cascade that ends early has empty filters from there on."""
+
+    def most(keys: DataFrame) -> int:
+        return keys.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+
+    levels: list[tuple[DataFrame, int]] = []
+    encode, other = universe.where("listed").select("key", "shard"), universe.where("not listed").select("key", "shard")
+    count = most(encode)
+    while count:
+        level = len(levels)
+        levels.append(_level(encode, level, shards, count))
+        tested = _with_level(other, level, levels[-1], shards)
+        wrong = cut(tested.where(_passes_level(F.col("key"), F.col(f"f{level}"), level, levels[-1][1])).select("key", "shard"))
+        encode, other, count = wrong, encode, most(wrong)
+    return levels
+
+
+def _member_of(rows: DataFrame, key: Column, levels: list[tuple[DataFrame, int]], shards: int) -> DataFrame:
+    """Adds `listed`: true if a key of the universe is listed. Levels are tested one by one, so a filter is not carried past its own."""
+    columns = [*rows.columns, "listed"]
+    rows = rows.withColumn("listed", F.lit(None).cast("boolean"))
+    for level, built in enumerate(levels):
+        failed = ~_passes_level(key, F.col(f"f{level}"), level, built[1])
+        answer = F.when(F.col("listed").isNull() & failed, F.lit(level % 2 == 1)).otherwise(F.col("listed"))
+        rows = _with_level(rows, level, built, shards).withColumn("listed", answer).select(*columns)
+    return rows.withColumn("listed", F.coalesce("listed", F.lit(len(levels) % 2 == 1)))
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(page_id, host, path, rule, listed, verdict) for each row of pages(page_id, url). `listed`(host) holds the hosts to block.
 
@@ -126,11 +190,11 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     )
     universe = cut(marks.groupBy("key").agg(F.max("listed").alias("listed"), F.max("seen").alias("seen")).where("seen"))
     shards = _shards(universe)
-    shard = lambda c: F.pmod(F.xxhash64(F.lit("shard"), c), F.lit(shards))
-    out = []
-    for s in range(shards):
-        own = universe.where(shard(F.col("key")) == s) if shards > 1 else universe
-        rows = parts.where(shard(F.col("host")) == s) if shards > 1 else parts
-        out.append(rows.withColumn("listed", member(F.col("host"), cascade(own))))
+    if shards == 1:
+        judged = parts.withColumn("listed", member(F.col("host"), cascade(universe)))
+    else:
+        shard = lambda c: F.pmod(F.xxhash64(F.lit("shard"), c), F.lit(shards))
+        levels = cascades(universe.withColumn("shard", shard(F.col("key"))), shards)
+        judged = _member_of(parts.withColumn("shard", shard(F.col("host"))), F.col("host"), levels, shards)
     verdict = F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow"))
-    return reduce(DataFrame.union, out).select("page_id", "host", "path", rule.alias("rule"), "listed", verdict.alias("verdict"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), "listed", verdict.alias("verdict"))

@@ -185,17 +185,63 @@ def test_filters_are_bounded_on_every_level(spark, monkeypatch):
 
     monkeypatch.setattr(u, "MAX_KEYS", 100)
     monkeypatch.setattr(u, "BLOCK", 16)
-    sizes, build = [], u._filter
+    sizes, build = [], u._level
 
-    def filtered(keys, level, count):
+    def built(keys, level, shards, count):
         sizes.append(count)
-        return build(keys, level, count)
+        return build(keys, level, shards, count)
 
-    monkeypatch.setattr(u, "_filter", filtered)
+    monkeypatch.setattr(u, "_level", built)
     pages = spark.range(30_000).selectExpr("id as page_id", "concat('http://h', id, '/') as url")
     table = spark.range(90).selectExpr("concat('h', id) as host")
     assert u.judge_urls(pages, table).where("listed != (page_id < 90) or listed != (verdict = 'block')").isEmpty()
-    assert max(sizes) <= 100
+    assert len(sizes) > 1 and max(sizes) <= 100
+
+
+@pytest.mark.parametrize("broadcast", [256 << 20, 0])
+def test_cascades_are_exact(spark, monkeypatch, broadcast):
+    """Several cascades, of which one has no listed key, in filters too small for them; levels are broadcast or shuffled."""
+    from logbraid.llm import url_filters as u
+
+    monkeypatch.setattr(u, "BITS_PER_KEY", 3)
+    monkeypatch.setattr(u, "MAX_BROADCAST", broadcast)
+    universe = spark.range(3000).selectExpr("concat('h', id) as key", "id % 3 = 0 and id % 7 > 0 as listed", "id % 7 as shard")
+    levels = u.cascades(universe, 7)
+    assert len(levels) > 3
+    twice = universe.union(universe).withColumnRenamed("listed", "truth")
+    got = u._member_of(twice, u.F.col("key"), levels, 7)
+    assert got.count() == 6000 and got.where("listed is null or listed != truth").isEmpty()
+
+
+def test_pages_are_read_once_for_any_number_of_cascades(spark, monkeypatch, tmp_path):
+    from logbraid.llm import url_filters as u
+
+    monkeypatch.setattr(u, "MAX_KEYS", 100)
+    spark.range(3_000).selectExpr("id as page_id", "concat('http://h', id, '/') as url").write.parquet(str(tmp_path / "pages"))
+    pages, table = spark.read.parquet(str(tmp_path / "pages")), spark.range(900).selectExpr("concat('h', id) as host")
+    df = u.judge_urls(pages, table)
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert df.where("listed != (page_id < 900)").isEmpty()
+
+
+def test_documents_are_read_three_times_for_items_of_all_lengths(spark, monkeypatch, tmp_path):
+    from logbraid.llm import decontamination as d
+
+    frame(spark).write.parquet(str(tmp_path / "docs"))
+    docs, scans, cut = spark.read.parquet(str(tmp_path / "docs")), [], d.cut
+
+    def counted(df):
+        scans.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan"))
+        return cut(df)
+
+    monkeypatch.setattr(d, "cut", counted)
+    text = dict(pairs())[1000].split()
+    items = spark.createDataFrame([(n, " ".join(text[n : 2 * n])) for n in range(1, 16)], "item_id long, text string")
+    df = d.contamination(docs, items)
+    scans.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan"))
+    assert sum(scans) == 3
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r.item_ids)) for r in df.collect()), key=repr)
+    assert got == hits(pairs(), [tuple(r) for r in items.collect()], 13)
 
 
 def test_plans_have_no_python(spark):
