@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logbraid.llm.native_words import ascii_lower, split_words, with_grams, with_hashes, with_window_minima
@@ -25,18 +25,34 @@ def _words(df: DataFrame) -> DataFrame:
     return df.withColumn("words", split_words(ascii_lower(F.col("text")), NOT_A_WORD))
 
 
-def _windows(df: DataFrame, length: int, keep: list[str]) -> DataFrame:
-    """(keep, at, gram): the words of each window of `length` words and its first place, from 0."""
+def _windows(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
+    """(keep, at, length, gram): the words of each window of each of `lengths` words, and its first place, from 0."""
+
+    def of(length: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("words") - (length - 1))
+        gram = lambda i: F.struct(
+            (i - 1).alias("at"), F.lit(length).alias("length"), F.array_join(F.slice("words", i, F.lit(length)), " ").alias("gram")
+        )
+        return F.when(F.size("words") >= length, F.transform(starts, gram))
+
+    none = F.array().cast("array<struct<at:int,length:int,gram:string>>")
+    every = of(lengths[0]) if len(lengths) == 1 else F.concat(*(F.coalesce(of(n), none) for n in lengths))
     # Outer, as an inner explode would be preceded by a filter that evaluates the whole array, and its words for each element, again.
-    starts = F.sequence(F.lit(1), F.size("words") - (length - 1))
-    grams = F.when(F.size("words") >= length, F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(length)), " ")))
-    return df.select(*keep, F.posexplode_outer(grams).alias("at", "gram")).where("gram is not null")
+    return df.select(*keep, F.explode_outer(every).alias("window")).where("window is not null").select(*keep, "window.*")
 
 
 def _fingerprints(df: DataFrame, k: int) -> DataFrame:
     return with_window_minima(with_grams(with_hashes(df, "words"), k), f"h{k}", WINDOW, "fingerprints")
 
 
+def _marks(df: DataFrame, k: int, lengths: list[int]) -> DataFrame:
+    """Adds fingerprints, and h{n} for each n of `lengths`: the hash of each n words in a row, which finds items of n words."""
+    df = _fingerprints(df, k)
+    for n in lengths:
+        df = with_grams(df, n)
+    return df
+
+
 def contamination(docs: DataFrame, items: DataFrame, span: int = 13) -> DataFrame:
     """(doc_id, text_key = xxhash64(text), n_words, n_hit, n_items, item_ids array<string>) for each row of docs(doc_id, text), against items(item_id, text).
 
@@ -54,10 +70,17 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13) -> DataFram
     items = cut(_words(items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))).select("item_id", "words"))
     worded = _words(docs).select(*key, "words")
 
-    prints = _fingerprints(items, k).select(F.explode_outer("fingerprints").alias("fingerprint")).where("fingerprint is not null").distinct()
+    # At most span - 1 rows: the lengths of items that are shorter than a window.
+    few = F.size("words").alias("n")
+    short = sorted(r["n"] for r in items.select(few).where(f"n > 0 and n < {span}").distinct().collect())
+    marked = _marks(items, k, short)
+    whole = reduce(lambda other, n: F.when(F.size("words") == n, F.get(f"h{n}", F.lit(0))).otherwise(other), short, F.lit(None).cast("bigint"))
+    own = F.when(F.size("words") < span, F.array(whole)).otherwise(F.col("fingerprints"))
+    prints = marked.select(F.explode_outer(own).alias("fingerprint")).where("fingerprint is not null").distinct()
+    theirs = F.concat("fingerprints", *(f"h{n}" for n in short)) if short else F.col("fingerprints")
     found = (
-        _fingerprints(worded, k)
-        .select(*key, F.explode_outer("fingerprints").alias("fingerprint"))
+        _marks(worded, k, short)
+        .select(*key, F.explode_outer(theirs).alias("fingerprint"))
         .join(broadcast_within(prints, MAX_ROWS), "fingerprint", "left_semi")
         .select(*key)
         .distinct()
@@ -65,19 +88,12 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 13) -> DataFram
     found = cut(found)
     candidates = worded.alias("d").join(broadcast_within(found, MAX_ROWS).alias("f"), _same("d", "f"), "left_semi")
 
-    def hits(texts: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-        windows = windows.select("item_id", "gram").distinct()
-        return _windows(texts, length, key).join(broadcast_within(windows, MAX_ROWS), "gram").select(
-            *key, "item_id", "at", F.lit(length).alias("length")
-        )
-
-    parts = [hits(candidates, _windows(items, span, ["item_id"]), span)]
-    # At most span - 1 rows: the lengths of items that are shorter than a window. These are met by all documents.
-    sizes = items.select(F.size("words").alias("n")).where(f"n > 0 and n < {span}").distinct().collect()
-    for length in sorted(r["n"] for r in sizes):
-        short = items.where(F.size("words") == length)
-        parts.append(hits(worded, _windows(short, length, ["item_id"]), length))
-    every = reduce(DataFrame.unionByName, parts)
+    size = F.size("words")
+    windows = _windows(items, [span], ["item_id"]).select("item_id", "gram").union(
+        items.where((size > 0) & (size < span)).select("item_id", F.array_join("words", " "))
+    )
+    windows = windows.distinct()
+    every = _windows(candidates, [span, *short], key).join(broadcast_within(windows, MAX_ROWS), "gram").select(*key, "item_id", "at", "length")
     every = cut(every)
     covered = (
         every.select(*key, "at", "length").distinct()
