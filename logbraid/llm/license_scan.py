@@ -1,13 +1,17 @@
 """License scan: MinHash bands over overlapping windows of words find candidate templates, exact containment confirms them.
 
-For a template of T shingles, windows of 1.5 T shingles every T / 2 shingles are taken, so one of them holds any range of T
-shingles as a whole. If it has 80 % of the template's shingles, its Jaccard similarity to the template is at least
-0.8 T / (1.5 T + 0.2 T) = 0.47. With BANDS bands of one row each, a match is missed with a probability of at most 0.53^24, below 3 in ten
-million. The bands of the templates, a parameter of fixed size, are sorted arrays in each task.
+Templates of about the same size share their windows: a class is led by its largest size, C shingles, and goes down to C / 1.2. Its windows of less
+than 1.25 C shingles begin every C / 4 shingles, so one of them holds any range of T <= C shingles as a whole. If it has 80 % of a template's T shingles,
+its Jaccard similarity to the template is at least 0.8 T / (1.5 T + 0.2 T) = 0.47. With BANDS bands of one row each, a match is missed with a
+probability of at most 0.53^24, below 3 in ten million.
+
+A window's minimum is looked up in the sorted minima of its class, so the work for a text grows with the number of classes, which is the logarithm
+of the largest size, and not with the number of templates.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,10 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 K, BANDS = 5, 24
+#: How much larger the largest template of a class is than its smallest may be.
+CLASS = Fraction(6, 5)
+#: Templates go to every task; a table of more text is refused. The texts of several thousand whole licences fit.
+MAX_TEMPLATE_BYTES = 64 << 20
 _SALTS = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, BANDS, dtype=np.uint64)
 #: ASCII letters in lower case and digits are words, as are bytes beyond ASCII; the rest separates.
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -80,8 +88,17 @@ class Templates:
             if ends[-1]:
                 self.names.append(name)
                 self.sets.append(np.unique(hashes))
-        self.sizes = np.array([len(s) for s in self.sets])
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.bands = np.array([[mix(s ^ salt).min() for salt in _SALTS] for s in self.sets], np.uint64).reshape(-1, BANDS)
+        #: (size, step, values, owners): the largest size of a class, and by band the minima of its templates in order and whose they are.
+        self.classes: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        rest = np.argsort(-self.sizes, kind="stable")
+        while len(rest):
+            size = int(self.sizes[rest[0]])
+            n = int(np.count_nonzero(self.sizes[rest] * CLASS.numerator > size * CLASS.denominator))
+            own, rest = rest[:n], rest[n:]
+            order = np.argsort(self.bands[own], axis=0, kind="stable")
+            self.classes.append((size, max(1, size // 4), np.take_along_axis(self.bands[own], order, 0).T.copy(), own[order].T.copy()))
 
     def candidates(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, first, end) of windows of `hashes` that share a band with a template."""
@@ -89,13 +106,14 @@ class Templates:
         for band in range(BANDS):
             x = mix(hashes ^ _SALTS[band])
             doubled = [x]
-            for size in np.unique(self.sizes).tolist():
-                step = max(1, size // 2)
-                window = size + step
+            for size, step, values, owners in self.classes:
+                window = size + step - 1
                 minima = _window_minima(x, window, doubled)[::step]
-                for t in np.flatnonzero(self.sizes == size).tolist():
-                    for at in np.flatnonzero(minima == self.bands[t, band]).tolist():
-                        found.add((t, at * step, min(len(hashes), at * step + window)))
+                first = np.searchsorted(values[band], minima)
+                hits = np.flatnonzero(values[band][np.minimum(first, values.shape[1] - 1)] == minima)
+                end = np.searchsorted(values[band], minima[hits], "right")
+                for at, i, j in zip((hits * step).tolist(), first[hits].tolist(), end.tolist(), strict=True):
+                    found.update((t, at, min(len(hashes), at + window)) for t in owners[band, i:j].tolist())
         return sorted(found)
 
 
@@ -141,18 +159,36 @@ def _map_scan(templates: Mapping[str, str], percent: int):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, percent: int = 80) -> DataFrame:
+def templates_of(table: DataFrame) -> dict[str, str]:
+    """Templates from table(license, text). Rows with a null are left out; of several texts of one license each is a template, numbered from the second on
+    in the order of the texts, as `license#2`. More than MAX_TEMPLATE_BYTES of text is an error."""
+    rows = table.select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text")).dropna().distinct()
+    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    if n_bytes > MAX_TEMPLATE_BYTES:
+        raise ValueError(f"templates of {n_bytes} bytes; at most {MAX_TEMPLATE_BYTES} can go to every task")
+    out: dict[str, str] = {}
+    last, n = None, 0
+    for name, text in sorted(tuple(r) for r in rows.collect()):
+        last, n = name, n + 1 if name == last else 1
+        out[name if n == 1 else f"{name}#{n}"] = text
+    return out
+
+
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | DataFrame = TEMPLATES, percent: int = 80) -> DataFrame:
     """(doc_id, license, start_word, end_word, containment): one row per place of docs(doc_id, text) that holds at least `percent` % of the
     five-word shingles of a template; words are ASCII letters and digits in lower case, and characters beyond ASCII.
 
     A place is a run of the template's shingles without gaps of more than half the template, given in words of the text. The bound on missed
     matches holds for places as long as the template; longer ones have more windows, but each with a part. A template of fewer words counts as one shingle, which only an equal text
     has. Null and empty texts match nothing; repeated rows match each by itself; a null doc_id stays null; empty tables and empty
-    templates give no rows; other columns are ignored. The bands are made for 80 % and more; a smaller `percent` is refused.
+    templates give no rows; other columns are ignored. The bands are made for 80 % and more; a smaller `percent` is refused. `templates` may be a table,
+    see `templates_of`.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must lie between 80 and 100")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if isinstance(templates, DataFrame):
+        templates = templates_of(templates)
     return texts.mapInArrow(
         _map_scan(dict(templates), percent), "doc_id long, license string, start_word long, end_word long, containment double"
     )

@@ -273,6 +273,47 @@ def test_scan_licenses(spark):
     assert s.scan_licenses(frame(spark), {}).collect() == []
 
 
+def test_many_licenses_of_any_size(spark):
+    """Several hundred made-up licences as a table: each is found where it stands, whole or with a few words changed, and nothing else is."""
+    from texts import sentence
+
+    from logbraid.llm import license_scan as s
+
+    rng = random.Random(6)
+    texts = {f"L{i}": sentence(rng, rng.choice([1, 2, 4, 5, 6, 8, 9, 11, 14, 20, 40, 90, 200, 450, 900])) + f" end{i}" for i in range(400)}
+    table = spark.createDataFrame([*texts.items(), ("L0", texts["L0"]), ("L1", "a second text of the first license"), ("null", None)], "license string, text string")
+    known = s.templates_of(table)
+    assert len(known) == 401 and {known["L1"], known["L1#2"]} == {texts["L1"], "a second text of the first license"}
+    templates = s.Templates(known)
+    assert len(templates.classes) < 30 and sum(c[2].shape[1] for c in templates.classes) == 401
+    docs = []
+    for i in range(120):
+        words = sentence(rng, rng.randint(0, 300)).split()
+        for name in rng.sample(sorted(known), 4):
+            own = known[name].split()
+            for at in range(50, len(own), 100):
+                own[at] = "changed"
+            at = rng.randint(0, len(words))
+            words[at:at] = own
+        docs.append((i, " ".join(words), "en", "s", 0, 1, 2, "", "", "", ""))
+    want = []
+    for d, text, *_ in docs:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        hashes, _ = s._shingles(raw, np.array([0, len(raw)]))
+        for name, own in zip(templates.names, templates.sets, strict=True):
+            want += [(d, name, *place) for place in s.places(hashes, own, 80)]
+    got = [tuple(r) for r in s.scan_licenses(frame(spark, docs), table).collect()]
+    assert len(want) > 300 and sorted(got) == sorted(want)
+
+
+def test_a_table_of_too_much_template_text_is_refused(spark, monkeypatch):
+    from logbraid.llm import license_scan as s
+
+    monkeypatch.setattr(s, "MAX_TEMPLATE_BYTES", 10)
+    with pytest.raises(ValueError, match="10"):
+        s.templates_of(spark.createDataFrame([("a", "more than ten bytes")], "license string, text string"))
+
+
 def test_quality_scores(spark):
     from pyspark.sql import functions as F
 
