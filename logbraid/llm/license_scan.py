@@ -52,6 +52,7 @@ CLASS = Fraction(6, 5)
 #: Templates go to every task; a table of more text is refused. The texts of several thousand whole licences fit.
 MAX_TEMPLATE_BYTES = 64 << 20
 _SALTS = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, BANDS, dtype=np.uint64)
+_LOW = np.uint64(0xFFF)
 #: ASCII letters in lower case and digits are words, as are bytes beyond ASCII; the rest separates.
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x30:0x3A] = np.arange(0x30, 0x3A)
@@ -90,15 +91,19 @@ class Templates:
                 self.sets.append(np.unique(hashes))
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.bands = np.array([[mix(s ^ salt).min() for salt in _SALTS] for s in self.sets], np.uint64).reshape(-1, BANDS)
-        #: (size, step, values, owners): the largest size of a class, and by band the minima of its templates in order and whose they are.
-        self.classes: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        #: (size, step, values, owners, ends): the largest size of a class, and by band the minima of its templates in order, whose they are, and which
+        #: low bits they end in.
+        self.classes: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         rest = np.argsort(-self.sizes, kind="stable")
         while len(rest):
             size = int(self.sizes[rest[0]])
             n = int(np.count_nonzero(self.sizes[rest] * CLASS.numerator > size * CLASS.denominator))
             own, rest = rest[:n], rest[n:]
             order = np.argsort(self.bands[own], axis=0, kind="stable")
-            self.classes.append((size, max(1, size // 4), np.take_along_axis(self.bands[own], order, 0).T.copy(), own[order].T.copy()))
+            values = np.take_along_axis(self.bands[own], order, 0).T.copy()
+            ends = np.zeros((BANDS, int(_LOW) + 1), bool)
+            ends[np.arange(BANDS)[:, None], (values & _LOW).astype(np.intp)] = True
+            self.classes.append((size, max(1, size // 4), values, own[order].T.copy(), ends))
 
     def candidates(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, first, end) of windows of `hashes` that share a band with a template."""
@@ -106,13 +111,14 @@ class Templates:
         for band in range(BANDS):
             x = mix(hashes ^ _SALTS[band])
             doubled = [x]
-            for size, step, values, owners in self.classes:
+            for size, step, values, owners, ends in self.classes:
                 window = size + step - 1
                 minima = _window_minima(x, window, doubled)[::step]
-                first = np.searchsorted(values[band], minima)
-                hits = np.flatnonzero(values[band][np.minimum(first, values.shape[1] - 1)] == minima)
+                # Most minima end in bits that no template's does; the rest is looked up.
+                hits = np.flatnonzero(ends[band][(minima & _LOW).astype(np.intp)])
+                first = np.searchsorted(values[band], minima[hits])
                 end = np.searchsorted(values[band], minima[hits], "right")
-                for at, i, j in zip((hits * step).tolist(), first[hits].tolist(), end.tolist(), strict=True):
+                for at, i, j in zip((hits * step).tolist(), first.tolist(), end.tolist(), strict=True):
                     found.update((t, at, min(len(hashes), at + window)) for t in owners[band, i:j].tolist())
         return sorted(found)
 
