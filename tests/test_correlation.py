@@ -268,3 +268,21 @@ def test_pairs_of_chosen_events(spark, events, cell):
     columns = ["source_event_id", "target_event_id", "id_key"]
     every = [p for p in rows(il.id_match_pairs(index, tiles, cfg), *columns) if chosen & set(p)]
     assert every and rows(il.id_match_pairs(index, tiles, cfg, touching), *columns) == every
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_identifier_edges_group_no_pairs(events, odd):
+    rng = random.Random(11)
+    value = lambda: {key: f"{key}-{rng.randint(0, 3)}" for key in ("request_id", "user_id", "error_code", "other") if rng.random() < 0.6}
+    data = [(f"e{i:02}", rng.randint(0, 1500), value()) for i in range(70)]
+    # Rows that come twice; with `odd`, event ids that come again with another time and other values.
+    data += data[:9] + ([(name, at + 200, value()) for name, at, _ in data[20:30]] if odd else [])
+    cfg = CorrelationConfig(rows_per_cell=5)
+    index = cut(il.identifier_index(events(data), cfg))
+    tiles = cut(il.identifier_tiles(index, cfg))
+    every = il.identifier_edges(index, tiles, cfg)
+    assert rows(every) == rows(il.id_match_edges(il.id_match_pairs(index, tiles, cfg), cfg))
+    touching = events(data[:3])
+    assert rows(il.identifier_edges(index, tiles, cfg, touching)) == rows(il.id_match_edges(il.id_match_pairs(index, tiles, cfg, touching), cfg))
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Aggregate [source_event_id" in plan) == odd
