@@ -286,3 +286,12 @@ def test_identifier_edges_group_no_pairs(events, odd):
     assert rows(il.identifier_edges(index, tiles, cfg, touching)) == rows(il.id_match_edges(il.id_match_pairs(index, tiles, cfg, touching), cfg))
     plan = every._jdf.queryExecution().optimizedPlan().toString()
     assert ("Aggregate [source_event_id" in plan) == odd
+
+
+def test_stage_diagnostics_counts_every_lexical_link(spark):
+    import queries.correlating  # noqa: F401  (it registers the query)
+    from queries.registry import ORACLES, QUERIES
+
+    assert "lexical" in ORACLES["stage_diagnostics"].split("SELECT bucket_id, CAST(NULL")[1]
+    found = QUERIES["stage_diagnostics"](spark, "/root/testdata/sf0.001").where("outcome = 'links'")
+    assert found.agg(F.max("n")).first()[0] > 1
