@@ -128,3 +128,18 @@ def test_counts_of_records_without_time_and_of_an_empty_source(spark, tmp_path):
     assert rows(run.read_stats) == [("mysql", 2, 1)] and store.load_events(spark, str(tmp_path / "a")).count() == 1
     run = run_batch(spark, {"mysql": lambda: raw.limit(0)}, str(tmp_path / "a"), str(tmp_path / "b"), use_scorer=False)
     assert rows(run.read_stats) == [] and store.load_events(spark, str(tmp_path / "a")).count() == 1
+
+
+def test_compressed_graph_json(spark, events, tmp_path):
+    edges = edge_frame(spark, [("1", "e1", "e2", "id_match", 1.0)])
+    store.write_graph_json(events(NODES), edges, str(tmp_path), "gzip")
+    assert all(f.name.endswith(".json.gz") for name in ("nodes", "edges") for f in (tmp_path / name).glob("part-*"))
+    assert rows(spark.read.json(str(tmp_path / "edges")), "source_event_id", "target_event_id") == [("e1", "e2")]
+
+
+def test_subgraph_of_made_edges(spark, events):
+    comps = spark.createDataFrame([("e1", "e1"), ("e2", "e1"), ("e3", "e3")], "event_id string, component string")
+    edges = edge_frame(spark, [("1", "e1", "e2", "id_match", 1.0), ("2", "e3", "e3", "id_match", 1.0)])
+    made = lambda inside: edges.join(inside.withColumnRenamed("event_id", "source_event_id"), "source_event_id", "left_semi")
+    nodes, links = incidents.incident_subgraph(events(NODES), made, comps, "e1")
+    assert (rows(nodes, "event_id"), rows(links, "edge_id")) == ([("e1",), ("e2",)], [("1",)])
