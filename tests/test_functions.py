@@ -112,3 +112,17 @@ def test_texts(spark):
 def test_tiles_below_zero(spark):
     got = [one(spark, us, lambda c: fn.floor_tile(c, 10), "bigint") for us in (-11, -10, -1, 0, 9, 10)]
     assert got == [-2, -1, -1, 0, 0, 1]
+
+
+def test_words_of_patterns_save_only_vain_searches(spark):
+    from logbraid.functions import identifiers
+
+    heads = ["request_id", "REQ-ID", "x-request-id", "traceId", "X-B3-TraceId", "x-amzn-trace-id", "user_id", "UID", "error_code", "ErrCode", "Status", "service-name", "SVC", "ſtatus", "uıd", "event"]
+    texts = [f"é {h}=ABCD-12345" for h in heads] + [f"{h}: ABCD-12345 done" for h in heads] + [None, "", "nothing"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.map_filter(
+        F.create_map(*[part for k, p in identifiers.IDENTIFIER_PATTERNS.items() for part in (F.lit(k), F.regexp_extract("text", "(?iU)" + p, 1))]), lambda _, v: v != ""
+    )
+    found = identifiers.extract_identifiers(F.col("text"))
+    assert [r[0] for r in frame.select(found).collect()] == [r[0] for r in frame.select(plain).collect()]
+    assert all("CASE WHEN" in identifiers._first_match(F.col("text"), k, p)._jc.toString() for k, p in identifiers.IDENTIFIER_PATTERNS.items())
