@@ -295,3 +295,34 @@ def test_stage_diagnostics_counts_every_lexical_link(spark):
     assert "lexical" in ORACLES["stage_diagnostics"].split("SELECT bucket_id, CAST(NULL")[1]
     found = QUERIES["stage_diagnostics"](spark, "/root/testdata/sf0.001").where("outcome = 'links'")
     assert found.agg(F.max("n")).first()[0] > 1
+
+
+def test_validated_links_are_not_shuffled(spark, events):
+    """Links lie where their chunk lies; their ends are looked up by the chunk alone."""
+    placed = chunked(events([(f"e{i:02d}", i, {}, "tomcat" if i % 2 else "postgres", "disk full") for i in range(30)]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        good = links.validated_links(links.lexical_links(placed), placed)
+        assert good.count() > 100
+        plan = good._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" in plan and not [line for line in plan.splitlines() if "hashpartitioning" in line and "event_id" in line.split("hashpartitioning")[1]]
+
+
+def test_run_stores_no_scored_links(spark, events, monkeypatch):
+    from logbraid.plans import correlate
+
+    stored = []
+    monkeypatch.setattr(correlate, "cut", lambda frame: stored.append(frame.columns) or cut(frame))
+    run = run_correlation(events(PAIR))
+    assert dict(rows(run.components))["b"] == "b" and stored and not [names for names in stored if "confidence" in names]
+
+
+def test_dense_edges_are_contracted_before_they_are_stored(spark):
+    names = [f"n{i:03d}" for i in range(300)]
+    cliques = [(a, b) for k in (0, 150) for i, a in enumerate(names[k : k + 150]) for b in names[k + i + 1 : k + 150]]
+    edges = spark.createDataFrame(cliques, "a string, b string").coalesce(1)
+    left = components._forest(edges)
+    assert left.count() == 298
+    assert dict(rows(components.star_roots(left, "a", "b"))) == {n: names[0 if n < names[150] else 150] for n in names if n not in (names[0], names[150])}
