@@ -356,6 +356,21 @@ def test_stage_diagnostics_counts_every_lexical_link(spark):
     assert found.agg(F.max("n")).first()[0] > 1
 
 
+def test_stage_diagnostics_has_all_outcomes(spark, tmp_path):
+    """F32: chunks on which a scorer fails are told from others, and no link is left uncounted."""
+    import queries.correlating  # noqa: F401  (it registers the query)
+    from queries.registry import ORACLES, QUERIES
+
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id div 4 * 3600 + id % 4)"
+    table = spark.range(400).selectExpr("id AS event_id", f"{at} AS ts", "id AS user_id", "'view' AS event_type", "'{}' AS props")
+    table.write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["stage_diagnostics"](spark, str(tmp_path)).collect()
+    assert {"failed", "links"} <= {r.outcome for r in found} and "ends" in ORACLES["stage_diagnostics"].split("SELECT bucket_id, CAST(NULL")[1]
+    counted = {(r.bucket_id, r.chunk_no): r.n for r in found if r.n and r.chunk_no is not None}
+    links_of = QUERIES["lexical_links"](spark, str(tmp_path)).groupBy("bucket_id", "chunk_no").count().collect()
+    assert counted == {(r.bucket_id, r.chunk_no): r["count"] for r in links_of}
+
+
 def test_validated_links_are_not_shuffled(spark, events):
     """Links lie where their chunk lies; their ends are looked up by the chunk alone."""
     placed = chunked(events([(f"e{i:02d}", i, {}, "tomcat" if i % 2 else "postgres", "disk full") for i in range(30)]))
