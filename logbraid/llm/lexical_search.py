@@ -34,6 +34,9 @@ ITEMS_PER_PASS, OPEN_AT_ONCE = 1000, 256
 #: Weights of the ranking: term frequency against length, in hundredths.
 LENGTH_SHARE, SATURATION, IMPACT_SCALE = 50, 20, 1_000_000_000
 
+#: An index row takes megabytes, so a writer that looks at its size every hundred rows only, and a reader of a whole row group, hold a whole file. With these
+#: they hold little more than one row, however much text a task has.
+SMALL_GROUPS = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 INDEX = "n_docs long, n_terms long, docs binary, terms binary, frequencies binary, masks binary, maxima binary, levels binary"
 HITS = "query long, doc_id long, score long"
 _U = np.uint64
@@ -149,6 +152,8 @@ def build_treap(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, heigh
 
 
 _ONES = np.array([bin(i).count("1") for i in range(16)], np.int64)
+#: The same for all cells of a treap at once.
+_FEW = _ONES.astype(np.int8)
 #: Of a mask, the children before each quadrant; -1 where there is none.
 _BEFORE = np.array([[_ONES[m & ((1 << q) - 1)] if m >> q & 1 else -1 for q in range(4)] for m in range(16)], np.int64)
 
@@ -162,8 +167,10 @@ class Treap:
         total = int(self.sizes.sum())
         nibbles = np.frombuffer(row["masks"], np.uint8)
         self.masks = np.stack([nibbles & 15, nibbles >> 4], 1).reshape(-1)[:total]
-        children = _ONES[self.masks]
-        self.first = (np.cumsum(children) - children + 1).astype(np.int32)
+        children = _FEW[self.masks]
+        self.first = np.cumsum(children, dtype=np.int32)
+        self.first -= children
+        self.first += 1
         down = from_planes(row["maxima"], total, 3).astype(np.int32)
         # Differences are undone one level after another.
         self.maxima, at = down, 1
@@ -174,7 +181,7 @@ class Treap:
 
 
 def store_treap(masks: np.ndarray, maxima: np.ndarray, sizes: np.ndarray) -> dict[str, bytes]:
-    children = _ONES[masks]
+    children = _FEW[masks]
     down, at = maxima.copy(), 1
     for size, above in zip(sizes[1:].tolist(), sizes[:-1].tolist()):
         parents = np.repeat(np.arange(at - above, at), children[at - above : at])
@@ -274,7 +281,7 @@ def build_index(docs: DataFrame, folder: str | None = None) -> SearchIndex:
     folder = folder or new_folder(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_docs, n_terms = corpus_counts(texts)
-    texts.mapInArrow(tidy_map(_map_index(n_docs, max(1, n_terms))), INDEX).write.option("compression", "zstd").parquet(folder)
+    texts.mapInArrow(tidy_map(_map_index(n_docs, max(1, n_terms))), INDEX).write.options(**SMALL_GROUPS).parquet(folder)
     return SearchIndex(spark.read.schema(INDEX).parquet(folder), n_docs, n_terms)
 
 
